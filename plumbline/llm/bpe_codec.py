@@ -28,59 +28,25 @@ from plumbline.llm.common import column, slices
 #: Pre-tokens up to so many characters are cached, up to so many of them.
 CACHED_CHARS, CACHED = 32, 300_000
 NONE = -1
-
-
-class RankQueue:
-    """Buckets of list positions by merge rank, under bitmaps of 64-way fan-out."""
-
-    def __init__(self) -> None:
-        self.top = 0  # one bit for each non-zero word of mid
-        self.mid: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position."""
-        top = self.top
-        if not top:
-            return None
-        b = (top & -top).bit_length() - 1
-        mid = self.mid[b]
-        a = b << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[a]
-        rank = a << 6 | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            low &= low - 1
-            self.low[a] = low
-            if not low:
-                mid &= mid - 1
-                self.mid[b] = mid
-                if not mid:
-                    self.top &= top - 1
-        return rank, at
+#: A space that is neither the first nor the last of its run of white space.
+WITHIN = regex.compile(r"\s \s")
 
 
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        most = max(self.ranks.values()) + 1
+        self.bytes_of = [b""] * most
+        for t, i in self.ranks.items():
+            self.bytes_of[i] = t
         self.pattern = regex.compile(pattern)
-        self.pairs = {bytes((a, b)): r for a in range(256) for b in range(256) if (r := self.ranks.get(bytes((a, b)))) is not None}
-        self.cache: dict[str, bytes] = {}
+        # the rank queue; every encode_piece leaves it empty for the next
+        self.buckets: list[list[int] | None] = [None] * most
+        self.low = [0] * ((most >> 6) + 1)
+        self.mid = [0] * ((most >> 12) + 1)
+        self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -88,49 +54,65 @@ class Codec:
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         n = len(piece)
-        end = list(range(1, n + 1))  # where the part that starts here ends
-        before = list(range(-1, n - 1))
-        due = [NONE] * n  # the rank at which the part that starts here merges with the next
-        queue, pairs = RankQueue(), self.pairs
-        for i in range(n - 1):
-            if (r := pairs.get(piece[i : i + 2])) is not None:
+        end = list(range(1, n + 2))  # where the part that starts here ends
+        before = list(range(-1, n))
+        due = [NONE] * (n + 1)  # the rank at which the part that starts here merges with the next
+        buckets, low, mid, top = self.buckets, self.low, self.mid, 0
+        fresh = [(i, r) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        while True:
+            for i, r in fresh:
                 due[i] = r
-                queue.push(r, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
-            if due[i] != rank:
-                continue  # stale: the part is gone or now has another right neighbour
+                if bucket := buckets[r]:
+                    heappush(bucket, i)
+                    continue
+                buckets[r] = [i]
+                a = r >> 6
+                if not low[a]:
+                    b = a >> 6
+                    if not mid[b]:
+                        top |= 1 << b
+                    mid[b] |= 1 << (a & 63)
+                low[a] |= 1 << (r & 63)
+            while top:  # find first set: the lowest rank, then its leftmost position
+                b = (top & -top).bit_length() - 1
+                m = mid[b]
+                a = b << 6 | (m & -m).bit_length() - 1
+                x = low[a]
+                r = a << 6 | (x & -x).bit_length() - 1
+                bucket = buckets[r]
+                i = heappop(bucket)
+                if not bucket:
+                    low[a] = x = x & (x - 1)
+                    if not x:
+                        mid[b] = m = m & (m - 1)
+                        if not m:
+                            top &= top - 1
+                if due[i] == r:  # else stale: the part is gone or has another right neighbour now
+                    break
+            else:
+                break
             j = end[i]
             end[i] = k = end[j]
-            due[j] = NONE
-            if k < n:
-                before[k] = i
-                if (r := ranks.get(piece[i : end[k]])) is not None:
-                    due[i] = r
-                    queue.push(r, i)
-                else:
-                    due[i] = NONE
-            else:
-                due[i] = NONE
+            due[i] = due[j] = NONE
+            before[k] = i
+            fresh = []
+            if k < n and (r := ranks.get(piece[i : end[k]])) is not None:
+                fresh.append((i, r))
             if (p := before[i]) >= 0:
+                due[p] = NONE
                 if (r := ranks.get(piece[p:k])) is not None:
-                    if due[p] != r:
-                        due[p] = r
-                        queue.push(r, p)
-                else:
-                    due[p] = NONE
+                    fresh.append((p, r))
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        cache, out = self.cache, []
+    def _pieces(self, text: str) -> bytes:
+        cache, out = self.pieces, []
         for piece in self.pattern.findall(text):
-            got = cache.get(piece)
-            if got is None:
+            if (got := cache.get(piece)) is None:
                 got = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
                 if len(piece) <= CACHED_CHARS:
                     if len(cache) >= CACHED:
@@ -139,6 +121,28 @@ class Codec:
             out.append(got)
         return b"".join(out)
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers.
+
+        A space that starts a run of white space, or ends it, starts a pre-token; so unless a space stands within a run,
+        the text can be split before each space and what follows one is looked up as a whole."""
+        if WITHIN.search(text):
+            return self._pieces(text)
+        cache, first, out = self.spaced, True, []
+        for chunk in text.split(" "):
+            if first:
+                first = False
+                out.append(self._pieces(chunk))
+                continue
+            if (got := cache.get(chunk)) is None:
+                got = self._pieces(f" {chunk}")
+                if len(chunk) <= CACHED_CHARS:
+                    if len(cache) >= CACHED:
+                        cache.clear()
+                    cache[chunk] = got
+            out.append(got)
+        return b"".join(out)
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe_codec, chat, sketch, url_trees
+from plumbline.llm import bpe_codec, chat, mcd_rules, simhash_gray, sketch, url_trees
 from plumbline.llm.common import table
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,14 @@ def op2_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.components(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
 
@@ -29,5 +37,5 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judged(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sketch, op5_bpe_codec, op6_perspectives, op10_url_trees)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op10_url_trees)}
 ORACLE: dict[str, str] = {"op6_perspectives": chat.ORACLE}
