@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,16 +121,24 @@ def in_next_order(docs: DataFrame, parts: int) -> DataFrame:
     from the last to the first, is the row after it. Texts are shuffled once: by ranges of doc_id whose bounds come from
     a sketch of quantiles; a range's first row is also sent, as a guest, to the range that ends before it."""
     ids = docs.select("doc_id")
-    cuts = sorted({c for c in ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or ()})
-    cut = F.lit(0)
-    if cuts:
-        cut = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0))
-    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(cut).cast("int")
-    # one row for each part, of which there are a fixed number
-    top = {r["part"]: r["top"] for r in ids.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
+    cuts = np.array(sorted({c for c in ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or ()}), np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(np.where(doc_id.isna(), -1, np.searchsorted(cuts, doc_id.fillna(0).astype("int64"))).astype("int32"))
+
+    # one number for each part, of which there are a fixed number
+    top = {r["part"]: r["top"] for r in ids.select(part_of("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
     above = sorted(top)
-    goes = [F.when((part == p) & F.col("doc_id").eqNullSafe(F.lit(top[p])), F.lit(q)) for p, q in zip(above, [*above[1:], above[0]] if above else [])]
-    rows = docs.select("doc_id", "text", part.alias("part"), (F.coalesce(*goes) if goes else F.lit(None)).cast("int").alias("to"))
+    goes = dict(zip(above, [*above[1:], above[0]] if above else [], strict=True))
+    nowhere = -2
+
+    @F.pandas_udf("int")
+    def guest_of(doc_id: pd.Series, part: pd.Series) -> pd.Series:
+        same = [top[p] == d or (top[p] is None and pd.isna(d)) for d, p in zip(doc_id, part, strict=True)]
+        return pd.Series([goes[p] if s else nowhere for s, p in zip(same, part, strict=True)], dtype="int32")
+
+    rows = docs.select("doc_id", "text", part_of("doc_id").alias("part")).withColumn("to", F.nullif(guest_of("doc_id", "part"), F.lit(nowhere)))
     rows = rows.select("doc_id", "text", F.explode(F.array_compact(F.array(F.struct("part", F.lit(False).alias("guest")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(True).alias("guest")))))).alias("x"))
     rows = rows.select("x.part", "x.guest", "doc_id", "text")
     return rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
