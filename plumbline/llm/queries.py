@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe_codec, chat, mcd_rules, packing, simhash_gray, sketch, url_trees
+from plumbline.llm import bpe_codec, chat, mcd_rules, packing, simhash_gray, sketch, suffix_dedup, url_trees
 from plumbline.llm.common import table
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -37,9 +37,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judged(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op8_packing, op10_url_trees)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op8_packing, op9_suffix_dedup, op10_url_trees)}
 ORACLE: dict[str, str] = {"op6_perspectives": chat.ORACLE}
