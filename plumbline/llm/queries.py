@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe_codec, chat, mcd_rules, packing, simhash_gray, sketch, suffix_dedup, token_automaton, url_trees
+from plumbline.llm import bpe_codec, chat, mcd_rules, ngram_trie, packing, simhash_gray, sketch, suffix_dedup, token_automaton, url_trees
 from plumbline.llm.common import table
 
 MULTI_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judged(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op7_token_automaton, op8_packing, op9_suffix_dedup, op10_url_trees)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_trie, op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op7_token_automaton, op8_packing, op9_suffix_dedup, op10_url_trees)}
 ORACLE: dict[str, str] = {"op6_perspectives": chat.ORACLE}
