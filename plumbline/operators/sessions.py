@@ -10,26 +10,31 @@ from plumbline.config import DEFAULT, Config
 STATE = "struct<bucket:string,constraints:array<string>,opening:array<string>,vocab:array<string>,asked:int>"
 
 
+def empty_state() -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(F.lit(None).cast("string").alias("bucket"), none.alias("constraints"), none.alias("opening"), none.alias("vocab"), F.lit(0).alias("asked")).cast(STATE)
+
+
+def advance(s: Column, words: Column, e: Column) -> Column:
+    """The state after a turn with these words and this event. Only a first opening sets the bucket; an override drops what
+    the opening asked for and starts the words and the questions anew; constraints are kept once each, in order."""
+    none = F.array().cast("array<string>")
+    opens = (e["kind"] == "opening") & e["category"].isNotNull() & s["bucket"].isNull()
+    over = e["kind"] == "override"
+    kept = F.when(over, F.array_except(s["constraints"], s["opening"])).otherwise(s["constraints"])
+    return F.struct(
+        F.when(opens, e["category"]).otherwise(s["bucket"]).alias("bucket"), F.array_union(kept, e["constraints"]).alias("constraints"),
+        F.when(over, none).when(opens & (e["scenario_hint"] == "intent_override"), e["constraints"]).otherwise(s["opening"]).alias("opening"),
+        F.when(over, F.array_distinct(words)).otherwise(F.array_union(s["vocab"], words)).alias("vocab"), (F.when(over, 0).otherwise(s["asked"]) + 1).cast("int").alias("asked"),
+    ).cast(STATE)
+
+
 def folded(turns: DataFrame) -> DataFrame:
     """turns (session, turn, words, event): the state after each turn. A session has at most ten turns by contract, so its
     turns are one small array; the fold is a JVM aggregate over it."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(None).cast("string").alias("bucket"), none.alias("constraints"), none.alias("opening"), none.alias("vocab"), F.lit(0).alias("asked"))
-
-    def step(s: Column, t: Column) -> Column:
-        e = t["event"]
-        opens = (e["kind"] == "opening") & e["category"].isNotNull() & s["bucket"].isNull()
-        over = e["kind"] == "override"
-        kept = F.when(over, F.array_except(s["constraints"], s["opening"])).otherwise(s["constraints"])
-        return F.struct(
-            F.when(opens, e["category"]).otherwise(s["bucket"]).alias("bucket"), F.array_union(kept, e["constraints"]).alias("constraints"),
-            F.when(over, none).when(opens & (e["scenario_hint"] == "intent_override"), e["constraints"]).otherwise(s["opening"]).alias("opening"),
-            F.when(over, F.array_distinct(t["words"])).otherwise(F.array_union(s["vocab"], t["words"])).alias("vocab"), (F.when(over, 0).otherwise(s["asked"]) + 1).cast("int").alias("asked"),
-        )
-
     listed = turns.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", "words", "event"))).alias("ts"))
     each = listed.select("session", "ts", F.posexplode("ts").alias("i", "t"))
-    return each.select("session", F.col("t.turn").alias("turn"), F.aggregate(F.slice("ts", 1, F.col("i") + 1), start.cast(STATE), lambda s, t: step(s, t).cast(STATE)).alias("state"))
+    return each.select("session", F.col("t.turn").alias("turn"), F.aggregate(F.slice("ts", 1, F.col("i") + 1), empty_state(), lambda s, t: advance(s, t["words"], t["event"])).alias("state"))
 
 
 def emits(n_constraints: Column, turn: Column, config: Config = DEFAULT) -> Column:

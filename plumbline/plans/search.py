@@ -185,10 +185,10 @@ def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best(rows, 1 << 30, ["query"]).select("query", "doc", "score", "rank")
 
 
-VARIANTS = {"base": "fused", "no_popularity": "fused - 0.05D * log_count", "coverage_only": "coverage", "title": "fused + title_overlap", "stars": "fused + 0.01D * stars"}
+VARIANTS = {"base": "fused", "no_popularity": "fused - 0.05D * log_count", "coverage_only": "coverage", "title": "fused + title_overlap", "stars": "fused + 0.01D * stars + 0.000000001D"}
 
 
-@query(f"""WITH {FEATURES}, scored AS ({' UNION ALL '.join(f"SELECT '{k}' AS variant, query, doc, round({v.replace('0.05D', '0.05::DOUBLE').replace('0.01D', '0.01::DOUBLE')}, 6) AS score FROM features" for k, v in VARIANTS.items())})
+@query(f"""WITH {FEATURES}, scored AS ({' UNION ALL '.join(f"SELECT '{k}' AS variant, query, doc, round({v.replace('0.05D', '0.05::DOUBLE').replace('0.01D', '0.01::DOUBLE').replace('0.000000001D', '0.000000001::DOUBLE')}, 6) AS score FROM features" for k, v in VARIANTS.items())})
 SELECT variant, query, doc, score, row_number() OVER (PARTITION BY variant, query ORDER BY score DESC, doc) AS rank FROM scored QUALIFY rank <= 3""")
 def rank_formula_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_features(spark, sf_dir).select("query", "doc", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.round(F.expr(v), 6).alias("score")) for k, v in VARIANTS.items()])).alias("x")).select("query", "doc", "x.*")
