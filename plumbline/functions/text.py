@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plumbline.functions import lexicon
 
@@ -24,7 +25,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&am
 
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -129,9 +130,9 @@ def details(text: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
-def description(text: Column, full: bool = False) -> Column:
+def description(text: Column) -> Column:
     """Cleaned parts, without headers, until DESCRIPTION_CHARS are reached."""
-    parts = F.transform(string_list(text), lambda p: collapse(strip_html(F.substring(p, 1, DESCRIPTION_CHARS), full)))
+    parts = F.transform(string_list(text), lambda p: collapse(strip_html(F.substring(p, 1, DESCRIPTION_CHARS))))
     good = F.filter(parts, lambda p: (p != "") & ~F.regexp_replace(F.lower(p), "^[ :]+|[ :]+$", "").isin(*HEADERS))
     whole = F.aggregate(good, F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), lambda a, p: F.when(a["n"] >= DESCRIPTION_CHARS, a).otherwise(F.struct(F.concat(a["s"], F.when(a["s"] == "", "").otherwise(" "), p).alias("s"), (a["n"] + F.length(p)).alias("n"))))
     return F.substring(whole["s"], 1, DESCRIPTION_CHARS)

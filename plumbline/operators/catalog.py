@@ -24,7 +24,7 @@ def products(records: DataFrame, sparse_below: int = DEFAULT.sparse_below) -> Da
     """Raw records (all columns text) to normalised products. Records without an id are dropped."""
     r = records.withColumns({
         "parent_asin": F.trim(F.coalesce(F.nullif("parent_asin", F.lit("")), F.col("asin") if "asin" in records.columns else F.lit(None))),
-        "title": F.trim(F.coalesce("title", F.lit(""))), "features": text.string_list(F.col("features")), "description": text.description(F.col("description"), full=True),
+        "title": F.trim(F.coalesce("title", F.lit(""))), "features": text.string_list(F.col("features")), "description": text.description(F.col("description")),
         "category_path": text.string_list(F.col("categories")), "details": text.details(F.col("details")), "price": text.price(F.col("price")),
         "avg_rating": text.rating(F.col("average_rating")), "rating_count": text.rating_count(F.col("rating_number")), "store": F.trim(F.coalesce("store", F.lit(""))),
     }).where(F.col("parent_asin").isNotNull() & (F.col("parent_asin") != ""))
