@@ -167,5 +167,5 @@ def kept(docs: DataFrame) -> DataFrame:
     the verdict depends on, so repeated doc_ids or null ones do no harm: equal texts of one group have one verdict."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     known = docs.select(key.alias("doc_id"), "lang", "source", "text")
-    bad = judged(known).where(~F.col("kept")).select(F.col("doc_id").alias("rejected_key")).distinct()
-    return docs.join(bad, key == F.col("rejected_key"), "left_anti")
+    bad = judged(known).where(~F.col("kept")).select(F.col("doc_id").alias("__plumbline_rejected")).distinct()
+    return docs.join(bad, key == F.col("__plumbline_rejected"), "left_anti")

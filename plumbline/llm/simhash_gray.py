@@ -236,14 +236,14 @@ def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
     keys = prints.join(_component_of(prints, group), "fp").groupBy(F.col("label").alias("cid"), "doc_id", "digest").count()
     # several fingerprints share a component; its first row by (doc_id, digest), nulls last, stays
     label = _first(keys)
-    lose = label.where(~F.col("stays")).select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (digest == F.col("k_digest"))
+    lose = label.where(~F.col("stays")).select(F.col("doc_id").alias("__plumbline_id"), F.col("digest").alias("__plumbline_digest"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__plumbline_id")) & (digest == F.col("__plumbline_digest"))
     left = docs.join(lose, same, "left_anti")
-    many = checkpoint(label.where(F.col("stays") & (F.col("count") > 1)).select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")))
+    many = checkpoint(label.where(F.col("stays") & (F.col("count") > 1)).select(F.col("doc_id").alias("__plumbline_id"), F.col("digest").alias("__plumbline_digest")))
     if many.isEmpty():
         return left
-    w = Window.partitionBy("k_id", "k_digest").orderBy(F.lit(0))
-    repeated = left.join(many, same).withColumn("k_nth", F.row_number().over(w)).where("k_nth = 1").select(*[F.col(c) for c in docs.columns])
+    w = Window.partitionBy("__plumbline_id", "__plumbline_digest").orderBy(F.lit(0))
+    repeated = left.join(many, same).withColumn("__plumbline_nth", F.row_number().over(w)).where("__plumbline_nth = 1").select(*[F.col(c) for c in docs.columns])
     return left.join(many, same, "left_anti").unionByName(repeated)
 
 
