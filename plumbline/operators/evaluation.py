@@ -63,3 +63,33 @@ def nearest_rank(values: DataFrame, group: str, value: str, shares: tuple[float,
     rows = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
     at = lambda q: F.least(F.greatest(F.ceil(F.col("n") * q), F.lit(1)), F.col("n"))
     return rows.groupBy(group).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") >= at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in shares])
+
+
+def usage(responses: DataFrame) -> DataFrame:
+    """responses (prompt_tokens, completion_tokens): totals of the counts that are there and not negative."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.col(c) >= 0, F.col(c))), F.lit(0)).alias(c)
+    return responses.agg(total("prompt_tokens"), total("completion_tokens")).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def ids_of(recommendations: Column) -> Column:
+    """The trimmed ids of an array of structs with `parent_asin`."""
+    return F.filter(F.transform(recommendations, lambda r: F.trim(r["parent_asin"])), lambda x: x != "")
+
+
+def payload(message: Column, ask: Column, ids: Column) -> Column:
+    zero = F.lit(0).alias
+    return F.struct(message.alias("message"), ask.alias("ask_attribute"), F.transform(ids, lambda i: F.struct(i.alias("parent_asin"))).alias("recommendations"), F.struct(zero("prompt_tokens"), zero("completion_tokens")).alias("usage"))
+
+
+def sampled(samples: DataFrame, seed: int, n: int) -> DataFrame:
+    """n samples in an order that a seed shuffles, the same on every run."""
+    return samples.orderBy(F.xxhash64(F.lit(seed), *samples.columns), *samples.columns).limit(n)
+
+
+def accepted(metric: DataFrame, threshold: float = 0.80) -> DataFrame:
+    return metric.where("scenario is null").select("technical_score", (F.col("technical_score") >= threshold).alias("accepted"))
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two runs gave the same rows, repeats counted."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

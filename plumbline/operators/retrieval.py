@@ -126,3 +126,25 @@ def backfilled(ranked: DataFrame, popular: DataFrame, queries: DataFrame, k: int
     rows = own.select("query", "doc", F.lit(0).alias("tier"), "rank").unionByName(more.select("query", "doc", F.lit(1).alias("tier"), F.col("pop_rank").alias("rank")))
     w = Window.partitionBy("query").orderBy("tier", "rank", "doc")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "doc", "tier", "place")
+
+
+def recovered(constraints: DataFrame, posted: DataFrame, idf: DataFrame, k: int = DEFAULT.top_k, drops: int = 3) -> DataFrame:
+    """Hits of the exact route, with the weakest constraints (by confidence, then phrase) left out one by one, up to `drops`,
+    until a query has k; all levels are one job, and the first that suffices is kept."""
+    w = Window.partitionBy("query").orderBy("confidence", "phrase")
+    levels = constraints.withColumn("weak", F.row_number().over(w)).select("*", F.explode(F.sequence(F.lit(0), F.lit(drops))).alias("level")).where("weak > level")
+    each = exact_phrases(levels.select(F.struct("query", "level").alias("query"), "phrase", "confidence", F.lit(None).cast("string").alias("category")), posted, idf)
+    each = each.select(F.col("query.query").alias("query"), F.col("query.level").alias("level"), "doc", "score", "rank")
+    sizes = each.groupBy("query", "level").agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.groupBy("query").agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("level"))), F.max_by("level", F.struct("n", -F.col("level")))).alias("level"))
+    return each.join(first, ["query", "level"]).select("query", "level", "doc", "score", "rank")
+
+
+def hashed_vectors(texts: DataFrame, id_: str, text: str, dim: int = 64) -> DataFrame:
+    """(id, place, weight): bag-of-token vectors by hashing, of unit length. A stand-in for an encoder."""
+    tokens = texts.select(F.col(id_).alias("id"), F.explode(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda t: t != "")).alias("t"))
+    little = lambda at: F.conv(F.concat(*[F.substring("h", at + 2 * i, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("bigint")
+    rows = tokens.withColumn("h", F.sha2("t", 256)).select("id", (little(1) % dim).alias("place"), (1.0 + (little(9) % 7) * 0.1).alias("bump"))
+    sums = rows.groupBy("id", "place").agg(F.sum("bump").alias("w"))
+    norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return sums.join(norm, "id").select("id", "place", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Config
+from plumbline.functions import lexicon
 
 STATE = "struct<bucket:string,constraints:array<string>,opening:array<string>,vocab:array<string>,asked:int>"
 
@@ -73,3 +74,48 @@ def repaired(fragments: DataFrame, posted: DataFrame, n_docs: Column) -> DataFra
     rows = rows.join(scores, ["query", "cut"], "left")
     best = rows.groupBy("query").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.size("groups")).alias("fewer"), (-F.col("cut")).alias("first"), "groups")).alias("b"), F.first("parts").alias("parts"))
     return best.select("query", F.when(F.col("b.score") > 0, F.col("b.groups")).otherwise(F.col("parts")).alias("constraints"))
+
+
+def category_slots(changes: DataFrame) -> DataFrame:
+    """changes (session, at, attribute, value, confidence), attribute `category` for categories: the slots at the end.
+
+    A new category clears all slots; a new value supersedes the old one; the same value again keeps the greater confidence.
+    Gives (session, category, attribute, value, confidence, set_at, superseded)."""
+    by = Window.partitionBy("session").orderBy("at")
+    cats = Window.partitionBy("session", F.col("attribute") == "category").orderBy("at")
+    before = F.lag("value").over(cats)
+    rows = changes.withColumn("cleared", ((F.col("attribute") == "category") & before.isNotNull() & (before != F.col("value"))).cast("int"))
+    rows = rows.withColumn("part", F.sum("cleared").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("last_part", F.max("part").over(Window.partitionBy("session")))
+    category = rows.where("attribute = 'category'").groupBy("session").agg(F.max_by("value", "at").alias("category"))
+    slot = Window.partitionBy("session", "attribute").orderBy("at")
+    rows = rows.where("attribute <> 'category' and part = last_part").withColumn("old", F.lag("value").over(slot))
+    rows = rows.withColumn("new", F.when(F.col("old").isNull() | (F.col("old") != F.col("value")), 1).otherwise(0)).withColumn("run", F.sum("new").over(slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("last_run", F.max("run").over(Window.partitionBy("session", "attribute")))
+    got = rows.groupBy("session", "attribute").agg(
+        F.max_by("value", "at").alias("value"), F.max(F.when(F.col("run") == F.col("last_run"), F.col("confidence"))).alias("confidence"), F.max("at").alias("set_at"),
+        F.array_sort(F.collect_set(F.when(F.col("old") != F.col("value"), F.col("old")))).alias("superseded"),
+    )
+    return got.join(category, "session", "left").select("session", "category", "attribute", "value", "confidence", "set_at", "superseded")
+
+
+def active(slots_: DataFrame, turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Slots (session, attribute, value, confidence, set_at, superseded) as weighted constraints at each session's turn."""
+    rows = slots_.join(turns, "session").withColumn("weight", decayed(F.col("confidence"), F.col("turn") - F.col("set_at"), F.lit(False), config))
+    told = F.concat(F.array(F.struct("value", "weight")), F.transform("superseded", lambda v: F.struct(v.alias("value"), (F.col("weight") * config.superseded).alias("weight"))))
+    return rows.select("session", "attribute", F.explode(told).alias("x")).select("session", "attribute", F.col("x.value").alias("phrase"), F.round("x.weight", 6).alias("confidence"))
+
+
+def follow_up(normalised: Column, last_asked: Column) -> Column:
+    """What a short answer fills: (attribute, value, confidence), or null. Up to two tokens if they name an attribute, up
+    to four if a question was asked."""
+    n = F.when(normalised == "", 0).otherwise(F.size(F.split(normalised, " ")))
+    guess = lexicon.guess_attribute(normalised)
+    attribute = F.when((n > 0) & (n <= 2) & guess.isNotNull(), guess).when((n > 0) & (n <= 4) & last_asked.isNotNull(), F.coalesce(guess, last_asked))
+    value = F.when(attribute.isin("style", "department"), F.coalesce(lexicon.canonical_gender(normalised), normalised)).otherwise(normalised)
+    return F.when(attribute.isNotNull() & ~attribute.isin("other", "category"), F.struct(attribute.alias("attribute"), value.alias("value"), F.when(guess.isNotNull(), 0.95).otherwise(0.8).alias("confidence")))
+
+
+def merged(constraints: DataFrame) -> DataFrame:
+    """constraints (query, phrase, source, confidence, pos): one for each phrase and source, the greatest confidence, in
+    order of first appearance."""
+    return constraints.groupBy("query", "phrase", "source").agg(F.max("confidence").alias("confidence"), F.min("pos").alias("pos"))
