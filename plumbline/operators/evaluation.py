@@ -17,7 +17,7 @@ def slates(items: DataFrame, known: DataFrame, k: int = DEFAULT.top_k) -> DataFr
     rows = items.select("query", "pos", F.trim("id").alias("id")).where("id <> ''").join(known.select("id").distinct(), "id", "left_semi")
     first = rows.groupBy("query", "id").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("query").orderBy("pos")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "rank")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 def metrics(sessions: DataFrame, scope: str = "scenario", config: Config = DEFAULT) -> DataFrame:

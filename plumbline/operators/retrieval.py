@@ -16,7 +16,7 @@ from plumbline.config import DEFAULT, Config
 def best(hits: DataFrame, k: int, query: list[str], score: str = "score", doc: str = "doc", name: str = "rank") -> DataFrame:
     """The k best documents of each query, numbered."""
     w = Window.partitionBy(*query).orderBy(F.desc(score), F.asc(doc))
-    return hits.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    return hits.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
 
 
 def small(df: DataFrame, rows: int, at_most: int = 200_000) -> DataFrame:
@@ -125,14 +125,14 @@ def backfilled(ranked: DataFrame, popular: DataFrame, queries: DataFrame, k: int
     more = queries.select("query").distinct().join(F.broadcast(spare)).join(own.select("query", "doc"), ["query", "doc"], "left_anti")
     rows = own.select("query", "doc", F.lit(0).alias("tier"), "rank").unionByName(more.select("query", "doc", F.lit(1).alias("tier"), F.col("pop_rank").alias("rank")))
     w = Window.partitionBy("query").orderBy("tier", "rank", "doc")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "doc", "tier", "place")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "doc", "tier", F.col("place").cast("bigint").alias("place"))
 
 
 def recovered(constraints: DataFrame, posted: DataFrame, idf: DataFrame, k: int = DEFAULT.top_k, drops: int = 3) -> DataFrame:
     """Hits of the exact route, with the weakest constraints (by confidence, then phrase) left out one by one, up to `drops`,
     until a query has k; all levels are one job, and the first that suffices is kept."""
     w = Window.partitionBy("query").orderBy("confidence", "phrase")
-    levels = constraints.withColumn("weak", F.row_number().over(w)).select("*", F.explode(F.sequence(F.lit(0), F.lit(drops))).alias("level")).where("weak > level")
+    levels = constraints.withColumn("weak", F.row_number().over(w)).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(drops).cast("bigint"))).alias("level")).where("weak > level")
     each = exact_phrases(levels.select(F.struct("query", "level").alias("query"), "phrase", "confidence", F.lit(None).cast("string").alias("category")), posted, idf)
     each = each.select(F.col("query.query").alias("query"), F.col("query.level").alias("level"), "doc", "score", "rank")
     sizes = each.groupBy("query", "level").agg(F.count(F.lit(1)).alias("n"))

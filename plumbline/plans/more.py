@@ -80,7 +80,7 @@ def learnt_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'blue' WHEN turn % 3 = 1 THEN 'eu40' ELSE lower(role) || ' text' END AS said FROM conversations)
-SELECT conv_id, turn, said, CASE WHEN turn % 3 = 0 THEN 'color' WHEN turn % 3 = 1 THEN 'size' ELSE 'material' END AS attribute, said AS value, CASE WHEN turn % 3 = 2 THEN 0.8 ELSE 0.95 END AS confidence FROM t""")
+SELECT conv_id, turn, said, CASE WHEN turn % 3 = 0 THEN 'color' WHEN turn % 3 = 1 THEN 'size' ELSE 'material' END AS attribute, said AS value, CASE WHEN turn % 3 = 2 THEN 0.8::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM t""")
 def follow_up_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 3
     said = F.when(k == 0, "blue").when(k == 1, "eu40").otherwise(F.concat(F.lower("role"), F.lit(" text")))

@@ -167,10 +167,10 @@ FEATURES = f"""{POOL}, best AS (SELECT query, doc, score, row_number() OVER (PAR
 r AS (SELECT b.query, b.doc, b.score AS fused, t.cs, lower(t.bucket) AS leaf, v.vocab, k.constraints AS attrs, lower(concat(c.title, ' ', c.bucket)) AS blob, c.bucket, c.title, c.cnt, c.price, c.stars, c.size,
   CASE b.query % 3 WHEN 0 THEN 'men' WHEN 1 THEN 'women' END AS gender, CASE b.doc % 4 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE '' END AS department FROM best b JOIN turns t USING (query) JOIN v USING (query) JOIN cards k ON k.doc = b.doc JOIN catalog c ON c.doc = b.doc),
 h AS (SELECT *, len(list_filter(cs, lambda x: list_contains(attrs, x) OR contains(blob, x))) AS hits FROM r),
-features AS (SELECT query, doc, round(fused, 6) AS fused, round(hits / greatest(len(cs), 1), 6) AS coverage, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS confidence, CASE WHEN leaf <> '' AND lower(bucket) = leaf THEN 1.0 ELSE 0.0 END AS leaf_exact,
+features AS (SELECT query, doc, round(fused, 6) AS fused, round(hits / greatest(len(cs), 1), 6) AS coverage, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN leaf <> '' AND lower(bucket) = leaf THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS leaf_exact,
   CAST(len(list_filter([bucket, title], lambda x: contains(lower(x), leaf) OR contains(leaf, lower(x)))) AS DOUBLE) AS path_overlap, round(len(list_intersect(vocab, list_distinct(string_split(lower(title), ' ')))) / greatest(len(vocab), 1), 6) AS title_overlap,
-  round(ln(1 + cnt), 6) AS log_count, CASE WHEN size < 10 THEN 1.0 ELSE 0.0 END AS sparse, CASE WHEN gender = department THEN 1.0 ELSE 0.0 END AS gender_match, CASE WHEN gender IS NOT NULL AND department <> '' AND gender <> department THEN 1.0 ELSE 0.0 END AS gender_mismatch,
-  CASE WHEN hits = 0 AND lower(bucket) <> leaf THEN 1.0 ELSE 0.0 END AS unmatched, CASE WHEN price IS NOT NULL THEN 1.0 ELSE 0.0 END AS has_price, round(stars, 6) AS stars FROM h)"""
+  round(ln(1 + cnt), 6) AS log_count, CASE WHEN size < 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sparse, CASE WHEN gender = department THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS gender_match, CASE WHEN gender IS NOT NULL AND department <> '' AND gender <> department THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS gender_mismatch,
+  CASE WHEN hits = 0 AND lower(bucket) <> leaf THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS unmatched, CASE WHEN price IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_price, round(stars, 6) AS stars FROM h)"""
 
 
 @query(f"WITH {FEATURES} SELECT * FROM features")
