@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe_codec, chat, mcd_rules, ngram_trie, packing, simhash_gray, sketch, suffix_dedup, token_automaton, url_trees
-from plumbline.llm.common import table
+from plumbline.llm.common import spread, table
 
 MULTI_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.scored(table(spark, sf_dir, "documents"))
+    return ngram_trie.scored(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,11 @@ def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_gray.components(table(spark, sf_dir, "documents"))
+    return simhash_gray.components(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
+    return bpe_codec.encoded(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(MULTI_BPE), public_tokenizers.PATTERN)
 
 
 def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_automaton.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return token_automaton.counted(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(WORD_BPE))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+    return suffix_dedup.removed(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
