@@ -233,7 +233,7 @@ def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
     prints = checkpoint(fingerprints(slim, ["doc_id", "digest"]))
-    keys = prints.join(_component_of(prints, group), "fp").groupBy(F.col("label").alias("cid"), "doc_id", "digest").count()
+    keys = checkpoint(prints.join(_component_of(prints, group), "fp").groupBy(F.col("label").alias("cid"), "doc_id", "digest").count())
     # several fingerprints share a component; its first row by (doc_id, digest), nulls last, stays
     label = _first(keys)
     lose = label.where(~F.col("stays")).select(F.col("doc_id").alias("__plumbline_id"), F.col("digest").alias("__plumbline_digest"))
@@ -250,5 +250,5 @@ def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
 def _first(keys: DataFrame) -> DataFrame:
     best = keys.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest")).alias("best"))
     best = best.select(F.col("cid").alias("b_cid"), F.col("best.doc_id").alias("b_id"), F.col("best.digest").alias("b_digest"))
-    rows = checkpoint(keys).join(best, F.col("cid").eqNullSafe(F.col("b_cid")))
+    rows = keys.join(best, F.col("cid").eqNullSafe(F.col("b_cid")))
     return checkpoint(rows.select("doc_id", "digest", "count", (F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest"))).alias("stays")))
