@@ -32,6 +32,8 @@ NOISE = (0.08, 0.1, 0.25, 0.2)
 #: Share of a group that the determinant is minimised over, steps, and the quantile beyond which a document is rejected.
 NEAREST, STEPS, QUANTILE = 0.75, 4, 0.9999
 MIN_GROUP = 8
+#: Keys that a group is dealt over.
+SALTS = 32
 BINS = 32  # per doubling of the squared distance
 P = len(NOISE)
 X = [f"x{i}" for i in range(P)]
@@ -126,8 +128,15 @@ def _distance() -> Column:
     return total
 
 
+def _with_estimates(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their group's columns. A group's rows are dealt over SALTS keys, on each of which its columns stand once,
+    so a source that holds a large part of all rows is many tasks' work."""
+    salts = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")).join(salts, ["g_lang", "g_source", "salt"], how).drop("salt")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """For each group (g_lang, g_source) of `rows` with x*, its estimate; groups below MIN_GROUP have none."""
+    """For each group (g_lang, g_source) of `rows` with doc_id and x*, its estimate; groups below MIN_GROUP have none."""
     group = ["g_lang", "g_source"]
     plain = checkpoint(_moments(rows, group).where(F.col("n") >= MIN_GROUP))
     sizes = plain.select(*group, F.col("n").alias("size"))
@@ -138,7 +147,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = checkpoint(_estimate(starts, [*group, "start"], 1.0))
     keys = [*group, "start"]
     for _ in range(STEPS):
-        bins = rows.select(*group, *X).join(now, group).withColumn("bin", F.floor(BINS * F.log2(_distance() + 1e-9)))
+        bins = _with_estimates(rows.select("doc_id", *group, *X), now).withColumn("bin", F.floor(BINS * F.log2(_distance() + 1e-9)))
         bins = _moments(bins, [*keys, "bin"])
         upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         nearest = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, group).where(F.col("below") < NEAREST * F.col("size"))
@@ -157,7 +166,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed, kept, and the squared distance (null if the base rules decide alone)."""
     stats = checkpoint(_with_groups(docs))
     found = estimates(stats.where(~F.col("base_failed")))
-    rows = stats.join(found, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    rows = _with_estimates(stats, found, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance", 6).alias("distance"))
 

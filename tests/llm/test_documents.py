@@ -157,7 +157,7 @@ def test_mcd_against_numpy(spark):
     r = np.random.default_rng(5)
     x = r.normal([1.6, 0.05, 0.0, 0.1], [0.1, 0.05, 0.01, 0.1], (400, 4))
     x[:40] += 1.5
-    df = spark.createDataFrame([("g", "s", *map(float, v)) for v in x], "g_lang string, g_source string, x0 double, x1 double, x2 double, x3 double")
+    df = spark.createDataFrame([(i, "g", "s", *map(float, v)) for i, v in enumerate(x)], "doc_id long, g_lang string, g_source string, x0 double, x1 double, x2 double, x3 double")
     e = mcd_rules.estimates(df).first()
     mean = np.array([e[f"m{i}"] for i in range(4)])
     half = np.zeros((4, 4))
