@@ -37,7 +37,7 @@ MU = 500.0
 #: Steps of the quantised logarithms (base 10) for each unit.
 STEPS = 256
 #: Tokens of a block, and of the training data for each shard.
-BLOCK, SHARD = 2_000_000, 2_500_000
+BLOCK, SHARD = 1_600_000, 2_000_000
 #: A context with more than this part of a shard's tokens has its successors dealt over so many shards.
 HOT, SPLIT = 1 / 8, 64
 
@@ -179,7 +179,7 @@ def _send_pairs(n_shards: int, first_id: dict[int, int], n_all: int, n_words: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _by("block", batches):
             x = unpack(next(r[3] for r in rows if r[2] == 0))
-            words, t, size = x["words"], x["tokens"].astype(np.int64), x["size"].astype(np.int64)
+            words, t, size = x["words"], x["tokens"].astype(np.int32), x["size"].astype(np.int64)
             count, number = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
             answers = {r[0]: r[3] for r in rows if r[2] == 1}
             for s, at in _cuts(_word_shard(words, n_shards), n_shards):
@@ -187,7 +187,7 @@ def _send_pairs(n_shards: int, first_id: dict[int, int], n_all: int, n_words: in
                 count[at] = a["count"]
                 number[at] = np.where(a["number"] >= 0, a["number"] + first_id[s], -1)
             docs = len(size)
-            doc = np.repeat(np.arange(docs), size)
+            doc = np.repeat(np.arange(docs, dtype=np.int32), size)
             plain = np.log10(count + 1.0) - log_all  # log p(w)
             base = np.bincount(doc, plain[t], minlength=docs)
             known = np.bincount(doc, count[t] > 0, minlength=docs).astype(np.int64)
@@ -203,8 +203,10 @@ def _send_pairs(n_shards: int, first_id: dict[int, int], n_all: int, n_words: in
             both = ~alone & (count[w] > 0)
             u, w, d = u[both], w[both], d[both]
             key = number[u] * n_words + number[w]
+            del t, doc, inside, alone, unseen, both
             order = np.argsort(key, kind="stable")
             key, d, u, w = key[order], d[order], u[order], w[order]
+            del order
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             times = np.diff(np.append(head, len(key)))
             trained = np.add.reduceat((x["held"] == 0)[d].astype(np.int64), head) if len(key) else np.zeros(0, np.int64)
