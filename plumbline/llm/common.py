@@ -39,9 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder, so lost executors cost no recomputation."""
+    """Cuts the lineage with files in the shared folder, so lost executors cost no recomputation. The driver's JVM is then
+    asked to collect its garbage, for Spark deletes the files of exchanges that nothing refers to any more only after that."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:
