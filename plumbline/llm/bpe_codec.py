@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import column, slices
 
 #: Pre-tokens up to so many characters are cached, up to so many of them.
-CACHED_CHARS, CACHED = 32, 300_000
+CACHED_CHARS, CACHED = 32, 600_000
 NONE = -1
 #: A space that is neither the first nor the last of its run of white space.
 WITHIN = regex.compile(r"\s \s")
