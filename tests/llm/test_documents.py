@@ -172,6 +172,29 @@ def test_mcd_against_numpy(spark):
     assert np.abs(mean - m).max() < 0.03 and np.abs(half.T @ half @ cov - np.eye(4)).max() < 0.35
 
 
+def distinct_words(tag, n):
+    return " ".join(f"{tag}{chr(97 + k // 676 % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(n))
+
+
+def lined(tag, fresh, repeated):
+    """Lines of which `repeated` are copies of the first; no run of three words stands twice, but within those copies."""
+    lines = [distinct_words(f"{tag}{k}x", 7) for k in range(fresh)]
+    return "\n".join([*lines, *["ab cd"] * (repeated + 1)])
+
+
+def test_mcd_rejects_by_one_statistic(spark):
+    texts = [distinct_words(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}", 120) for i in range(60)]
+    lines = [lined(f"l{chr(97 + k)}", 29 - k, k) for k in (9, 11, 14)]  # 30 lines with 30 to 47% repeated
+    symbols = [f"{(t := distinct_words('s', 120))} {'#' * (len(t.replace(' ', '')) // 9 + 1)}"]
+    planted = [*lines, *symbols]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, *planted])], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in mcd_rules.judged(df).collect()}
+    for i, t in enumerate(lines):
+        assert 0.3 <= got[60 + i].n_dup_lines / len(t.split("\n")) < 0.5
+    assert got[63].n_symbols < 0.11 * got[63].word_chars
+    assert all(got[i].kept for i in range(60)) and not any(got[60 + i].base_failed or got[60 + i].kept for i in range(len(planted)))
+
+
 def naive_fingerprint(t):
     w = [x.translate(LOWER) for x in WORD.findall(t or "")]
     if not w:
