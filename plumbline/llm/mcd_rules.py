@@ -2,19 +2,21 @@
 
 Only DataFrame functions run. Statistics of every document come from array functions on its words and lines. Within each
 (language, source) the transformed statistics of the documents that pass the base rules get a location and a covariance
-by concentration steps: distances to the current estimate, the half with the smallest distances, the moments of that half.
+by concentration steps: distances to the current estimate, the half with the smallest distances, the moments of that half
+(h = (n + p + 1) / 2 of n rows in p dimensions, so that nearly half of a group may be junk).
 A step is one aggregation: moments are summed for each group and fine bin of the distance, a running count over the bins
 finds those of the nearest share, and their sums give the next estimate. So nothing grows with a group but its count, and
 a source that holds most rows is aggregated before any exchange. Two starts run side by side (all rows; coordinatewise
-medians); that of the smaller determinant stays. A document is rejected if its squared Mahalanobis distance is beyond a
-quantile of the chi-square distribution.
+medians); that of the smaller determinant stays. As usual it is then reweighted: the moments of the rows within the central
+quantile of the chi-square distribution around it, which junk further away cannot enter however much there is, give the
+final estimate. A document is rejected if its squared Mahalanobis distance is beyond a far quantile of that distribution.
 
 Variances never fall below those of NOISE, since most clean documents have no symbols or repetitions at all. They are so
 low that each statistic alone can reach the cut-off: in a group that has none, 6% symbols or 24% repeated lines or words.
 
 Defined cases: null or empty text, or one without words: base_failed. Null languages or sources form groups of their own.
-Groups of fewer than MIN_GROUP documents that pass the base rules: the base rules decide alone. Repeated rows each get
-their row. Further columns are ignored by `quality` and kept by `kept`; clashing names do no harm.
+Groups of fewer than MIN_GROUP documents that pass the base rules take the estimate of all rows of their language; where
+that has fewer too, of all rows; where those are fewer, the base rules decide alone. Repeated rows each get their row. Further columns are ignored by `quality` and kept by `kept`; clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Least standard deviations of the transformed statistics: log word length; square roots of shares of symbols, repeated
 #: lines, repeated words.
 NOISE = (0.05, 0.05, 0.1, 0.1)
-#: Share of a group that the determinant is minimised over, steps, and the quantile beyond which a document is rejected.
-NEAREST, STEPS, QUANTILE = 0.75, 4, 0.9999
+#: Steps, the central quantile of the reweighting, and the quantile beyond which a document is rejected.
+STEPS, CENTRAL, QUANTILE = 4, 0.75, 0.9999
 MIN_GROUP = 8
+#: The language or source of estimates that are pooled over all of them; no known one or null is written so.
+ALL = "*"
 #: Keys that a group is dealt over.
 SALTS = 32
 BINS = 32  # per doubling of the squared distance
@@ -84,11 +88,19 @@ def _even_chi2_quantile(df: int, q: float) -> float:
     return hi
 
 
-#: What makes the covariance of the nearest share consistent for normal data.
-CONSISTENT = NEAREST / _even_chi2(P + 2, _even_chi2_quantile(P, NEAREST))
+def _consistent(share: float) -> float:
+    """What makes the covariance of the nearest share consistent for normal data."""
+    return share / _even_chi2(P + 2, _even_chi2_quantile(P, share))
+
+
+HALF_CONSISTENT, CONSISTENT = _consistent(0.5), _consistent(CENTRAL)
+NEAR = _even_chi2_quantile(P, CENTRAL)
 CUTOFF = _even_chi2_quantile(P, QUANTILE)
 
 
+SUMS = ["n", *[f"s_{x}" for x in X], *[f"s_{i}{j}" for i, j in PAIRS]]
+
+
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_{i}{j}") for i, j in PAIRS])
 
@@ -129,11 +141,11 @@ def _distance() -> Column:
     return total
 
 
-def _with_estimates(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+def _with_estimates(rows: DataFrame, found: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("g_lang", "g_source")) -> DataFrame:
     """Rows with their group's columns. A group's rows are dealt over SALTS keys, on each of which its columns stand once,
     so a source that holds a large part of all rows is many tasks' work."""
     salts = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")).join(salts, ["g_lang", "g_source", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")).join(salts, [*keys, "salt"], how).drop("salt")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -151,11 +163,33 @@ def estimates(rows: DataFrame) -> DataFrame:
         bins = _with_estimates(rows.select("doc_id", *group, *X), now).withColumn("bin", F.floor(BINS * F.log2(_distance() + 1e-9)))
         bins = _moments(bins, [*keys, "bin"])
         upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        nearest = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, group).where(F.col("below") < NEAREST * F.col("size"))
-        sums = nearest.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s_{x}" for x in X], *[f"s_{i}{j}" for i, j in PAIRS])])
-        now = checkpoint(_estimate(sums, keys, CONSISTENT))
+        half = F.floor((F.col("size") + P + 1) / 2)
+        nearest = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, group).where(F.col("below") < half)
+        sums = nearest.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+        now = checkpoint(_estimate(sums, keys, HALF_CONSISTENT))
     best = Window.partitionBy(*group).orderBy("logdet", "start")
-    return now.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "start", "logdet")
+    now = checkpoint(now.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "start", "logdet"))
+    near = _with_estimates(rows.select("doc_id", *group, *X), now).where(_distance() <= NEAR)
+    return checkpoint(_estimate(_moments(near, group), group, CONSISTENT).drop("logdet"))
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """`estimates`, and for each small group of `rows` that of its language or else of all rows, where they are enough."""
+    group = ["g_lang", "g_source"]
+    sizes = checkpoint(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    langs = sizes.groupBy("g_lang").agg(F.sum("n").alias("n_lang"), F.sum(F.when(F.col("n") < MIN_GROUP, 1).otherwise(0)).alias("small")).where("small > 0")
+    langs = checkpoint(langs.drop("small"))
+    found = estimates(rows)
+    if langs.isEmpty():
+        return found
+    plain = rows.select("doc_id", *group, *X)
+    wide = _with_estimates(plain, langs.where(F.col("n_lang") >= MIN_GROUP), keys=("g_lang",)).drop("n_lang").withColumn("g_source", F.lit(ALL))
+    if not langs.where(F.col("n_lang") < MIN_GROUP).isEmpty():
+        wide = wide.unionByName(plain.withColumns({"g_lang": F.lit(ALL), "g_source": F.lit(ALL)}))
+    wide = estimates(wide).withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
+    small = sizes.where(F.col("n") < MIN_GROUP).join(langs, "g_lang")
+    small = small.select(*group, F.when(F.col("n_lang") >= MIN_GROUP, F.col("g_lang")).otherwise(ALL).alias("p_lang"), F.lit(ALL).alias("p_source"))
+    return checkpoint(found.unionByName(small.join(wide, ["p_lang", "p_source"]).drop("p_lang", "p_source")))
 
 
 def _with_groups(docs: DataFrame) -> DataFrame:
@@ -166,7 +200,7 @@ def _with_groups(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed, kept, and the squared distance (null if the base rules decide alone)."""
     stats = checkpoint(_with_groups(docs))
-    found = estimates(stats.where(~F.col("base_failed")))
+    found = pooled(stats.where(~F.col("base_failed")))
     rows = _with_estimates(stats, found, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance", 6).alias("distance"))

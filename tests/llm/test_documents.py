@@ -195,6 +195,25 @@ def test_mcd_rejects_by_one_statistic(spark):
     assert all(got[i].kept for i in range(60)) and not any(got[60 + i].base_failed or got[60 + i].kept for i in range(len(planted)))
 
 
+def test_mcd_withstands_much_junk(spark):
+    r = np.random.default_rng(7)
+    x = r.normal([1.6, 0.05, 0.0, 0.1], [0.1, 0.05, 0.01, 0.1], (200, 4))
+    x[:80] += [0.9, 0.5, 0.0, 0.4]  # 40% of the group, all in one place
+    df = spark.createDataFrame([(i, "g", "s", *map(float, v)) for i, v in enumerate(x)], "doc_id long, g_lang string, g_source string, x0 double, x1 double, x2 double, x3 double")
+    got = [v[0] for v in mcd_rules._with_estimates(df, mcd_rules.estimates(df)).orderBy("doc_id").select(mcd_rules._distance()).collect()]
+    assert min(got[:80]) > mcd_rules.CUTOFF and np.mean(np.array(got[80:]) <= mcd_rules.CUTOFF) > 0.98
+
+
+def test_mcd_judges_small_groups(spark):
+    make = lambda i, tail="": distinct_words(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}", 120) + tail
+    bad = " " + "#" * 200
+    # sources of three rows of a language with enough of them, and a language of two rows
+    rows = [(i, make(i), "en", f"s{i // 3}") for i in range(30)] + [(40, make(40, bad), "en", "s0"), (41, make(41, bad), "de", "s0"), (42, make(42), "de", "s1")]
+    got = {r.doc_id: r for r in mcd_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {40, 41} and not any(r.base_failed for r in got.values())
+
+
 def naive_fingerprint(t):
     w = [x.translate(LOWER) for x in WORD.findall(t or "")]
     if not w:
