@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import mcd_rules, packing, simhash_gray, suffix_dedup
 from plumbline.llm.common import checkpoint_dir, prepare, table
+from plumbline.llm.queries import WORD_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, tokenizer=public_tokenizers.path(WORD_BPE))
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", repeated_strings), ("best-fit packing", best_fit_packing)]

@@ -1,6 +1,8 @@
 """Best-fit packing into bins of several permitted capacities.
 
-Documents are cut into pieces of at most the largest capacity, and pieces of one length are alike; so the plan needs only
+Capacities are numbers of tokens. A document's length is its count of tokens by the tokenizer that is given, and one end
+token; without a tokenizer, for texts whose tokens are split by white space already, words are counted. Starts are offsets
+in tokens. Documents are cut into pieces of at most the largest capacity, and pieces of one length are alike; so the plan needs only
 how many pieces there are of each length, a table bounded by the largest capacity. Over those counts best-fit decreasing
 runs exactly: bins with the same room left form a group, and a length fills the groups of least sufficient room first. When
 no open bin fits, the size is opened whose cost per packed token is least, judged by filling one bin of each size with the
@@ -8,7 +10,7 @@ best-fitting lengths still to come. At the end each bin shrinks to the smallest
 says, for runs of ranks of a length, in which bins they lie; ranks are counted in two steps (rows of a salt, then salts), so
 no length, however common, is numbered by one task.
 
-Defined cases: null or empty text: no words, one end token, length 1. Ties in a length are broken by salt, doc_id and piece.
+Defined cases: null or empty text: no tokens but the end, length 1. Ties in a length are broken by salt, doc_id and piece.
 A null doc_id is packed like any other; repeated rows are packed each. An empty table gives an empty result. Other columns
 are ignored.
 """
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpoint, column, words
+from plumbline.llm.common import checkpoint, column, spread, words
+from plumbline.llm.token_automaton import counted
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SALTS = 64
@@ -120,17 +123,20 @@ def plan(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, price
     return runs, sorted(shut, key=lambda g: g.bin0)
 
 
-def pieces(docs: DataFrame, largest: int) -> DataFrame:
-    """(doc_id, piece, start, length): each document's tokens (its words and one end) in pieces of at most `largest`."""
-    n = F.size(words(F.col("text"))).cast("long") + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
+def pieces(docs: DataFrame, largest: int, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length): each document's tokens and one end in pieces of at most `largest`."""
+    if tokenizer is None:
+        n = F.size(words(F.col("text"))).cast("long") + 1
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
+    else:
+        rows = counted(spread(docs.select("doc_id", "text")), tokenizer).select("doc_id", (F.col("n_tokens") + 1).alias("n"))
     rows = rows.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(largest).cast("long"))).alias("piece", "start"))
     return rows.select("doc_id", "piece", "start", F.least(F.lit(largest).cast("long"), F.col("n") - F.col("start")).alias("length"))
 
 
-def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, price: Callable[[int], float] = cost) -> DataFrame:
-    """(doc_id, piece, start, length, bin_id, position, capacity): where each piece lies."""
-    rows = pieces(docs, max(capacities)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, price: Callable[[int], float] = cost, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, bin_id, position, capacity): where each piece lies. `tokenizer`: the file of one."""
+    rows = pieces(docs, max(capacities), tokenizer).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     rows = checkpoint(rows)
     salted = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

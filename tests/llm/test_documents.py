@@ -363,6 +363,22 @@ def test_packing_plan():
     assert sorted(g.capacity - g.used for g in shut for _ in range(g.bins)) == naive_best_fit(lengths, 64)
 
 
+def test_packing_counts_tokens(docs, rows):
+    path, largest = public_tokenizers.path(WORD_BPE), max(packing.CAPACITIES)
+    tokenizer = Tokenizer.from_file(path)
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+        want.update((i, k, s, min(largest, n - s)) for k, s in enumerate(range(0, n, largest)))
+    got = packing.packed(docs, tokenizer=path).collect()
+    assert want == collections.Counter((r.doc_id, r.piece, r.start, r.length) for r in got)
+    assert sum(r.doc_id == 80 for r in got) > 1  # a text without spaces is cut
+    used = collections.Counter()
+    for r in got:
+        used[r.bin_id, r.capacity] += r.length
+    assert all(n <= capacity for (_, capacity), n in used.items())
+
+
 def test_packing(docs, rows):
     got = packing.packed(docs).collect()
     want = collections.Counter()
