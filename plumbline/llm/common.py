@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -30,21 +31,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (local tests)."""
+    """The shared folder of the cluster; a temporary one only in local mode, where none may be configured (tests)."""
     sc = spark.sparkContext
     if (at := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
     return at
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder, so lost executors cost no recomputation. The driver's JVM is then
-    asked to collect its garbage, for Spark deletes the files of exchanges that nothing refers to any more only after that."""
+    """Cuts the lineage with files in the shared folder, so lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -61,6 +63,27 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bits of a filter of keys (16 MB at most, however many keys there are), and of one of its pages.
+FILTER, PAGE = 1 << 27, 1 << 15
+
+
+def filter_pages(keys: DataFrame, of: Column) -> DataFrame:
+    """A filter of keys: rows (page, bits), set on the executors; it goes to all tasks, and its size has a bound."""
+    spot = F.pmod(of, F.lit(FILTER))
+    pages = keys.select(F.floor(spot / PAGE).cast("int").alias("__plumbline_page"), F.pmod(spot, F.lit(PAGE)).alias("bit"))
+    return checkpoint(pages.groupBy("__plumbline_page").agg(F.bitmap_construct_agg("bit").alias("__plumbline_bits")))
+
+
+def marked(rows: DataFrame, of: Column, pages: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean `name`: true for every key of the filter, and for some others, the more the fuller the filter is.
+    It spares rows an exchange before an exact join."""
+    spot = F.pmod(of, F.lit(FILTER))
+    byte = F.conv(F.hex(F.substring("__plumbline_bits", (F.floor(F.pmod(spot, F.lit(PAGE)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.pmod(spot, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined = rows.join(F.broadcast(pages), F.floor(spot / PAGE).cast("int") == F.col("__plumbline_page"), "left")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__plumbline_page", "__plumbline_bits")
+
+
 # ---- numpy over the bytes of a batch -------------------------------------------------------------------------
 
 
