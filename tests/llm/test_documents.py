@@ -70,33 +70,64 @@ def by_text(got, rows):
     return [(r, text[r.doc_id][0]) for r in got if r.doc_id is not None]
 
 
-def test_ngram_trie(docs, rows):
-    got = ngram_trie.scored(docs, mu=20.0, shard_tokens=3000).collect()
+def check_scores(got, rows, mu):
+    """Against a trigram model of plain dictionaries; `got` are result rows, each with its text."""
     tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t, *_ in rows]
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in tokens}
-    c, b = collections.Counter(), collections.Counter()
+    c, b, a = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in tokens:
         if not held[i]:
             c.update(w)
             b.update(itertools.pairwise(w))
+            a.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 1) / (n + v + 1)
-    for r, t in by_text(got, rows):
+    p1 = lambda w: (c[w] + 1) / (n + v + 1)
+    p2 = lambda u, w: (b[u, w] + mu[0] * p1(w)) / (c[u] + mu[0])
+    p3 = lambda u, x, w: (a[u, x, w] + mu[1] * p2(x, w)) / (b[u, x] + mu[1])
+    for r, t in got:
         w = [*WORD.findall(t.translate(LOWER)), None]
-        score = math.log10(p(w[0])) + sum(math.log10((b[x] + 20 * p(x[1])) / (c[x[0]] + 20)) for x in itertools.pairwise(w))
+        score = math.log10(p1(w[0])) + sum(math.log10(p2(*x)) for x in [w[:2]] if len(x) > 1) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:], strict=False))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10(p(x)) for x in w), abs_tol=1e-6) and abs(r.score - score) <= len(w) / ngram_trie.STEPS
+        assert math.isclose(r.base_score, sum(math.log10(p1(x)) for x in w), abs_tol=1e-6) and abs(r.score - score) <= len(w) / ngram_trie.STEPS
+
+
+@pytest.mark.parametrize(("shard", "block"), [(3000, 2000), (10**6, 10**6), (40, 500)])
+def test_ngram_trie(docs, rows, shard, block):
+    got = ngram_trie.scored(docs, mu=(20.0, 4.0), shard_tokens=shard, block_tokens=block).collect()
+    check_scores(by_text(got, rows), rows, (20.0, 4.0))
+
+
+@pytest.mark.parametrize("rows", [[(1, None)], [(None, "")], [(1, "only one"), (2, ""), (3, None)], [(4, "a b"), (10, "c d e")], [(i, "held out text") for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]])
+def test_ngram_trie_without_pairs(spark, rows):
+    """Blocks with no pair of trained words, or without training tokens at all."""
+    got = ngram_trie.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))).collect()
+    text = {i: t or "" for i, t in rows}
+    assert len(got) == len(rows)
+    check_scores([(r, text[r.doc_id]) for r in got], rows, ngram_trie.MU)
+    if all(r.held_out for r in got):
+        assert all(r.base_score == r.score == 0 == r.train_tokens for r in got)
 
 
-def test_elias_fano_trie():
+@pytest.mark.parametrize("order", [2, 3])
+def test_elias_fano_trie(order):
     r = np.random.default_rng(3)
-    key = np.unique(r.integers(0, 1000 * 1000, 5000))
-    code = r.integers(0, 60000, len(key))
-    trie = ngram_trie.Trie(key, code, 1000)
-    known = dict(zip(key.tolist(), code.tolist(), strict=True))
-    asked = np.concatenate([key, r.integers(0, 1000 * 1000, 5000), [0, 999_999]])
-    assert trie.find(asked).tolist() == [known.get(x, -1) for x in asked.tolist()]
-    assert ngram_trie.Trie(key[:0], code[:0], 1000).find(asked[:2]).tolist() == [-1, -1]
+    rows = np.unique(r.integers(0, 40, (5000, order)) * r.choice([1, 1000], (5000, order)), axis=0)
+    mine = rows[r.random(len(rows)) < 0.5]
+    code = r.integers(0, 60000, len(mine))
+    trie = ngram_trie.Trie(list(mine.T), code)
+    known = dict(zip(map(tuple, mine.tolist()), code.tolist(), strict=True))
+    assert trie.find(list(rows.T)).tolist() == [known.get(tuple(x), -1) for x in rows.tolist()]
+    assert ngram_trie.Trie(list(mine[:0].T), code[:0]).find(list(rows[:2].T)).tolist() == [-1, -1]
+
+
+@pytest.mark.parametrize("step", [1, 2, 50, 10**6])
+def test_elias_fano(step):
+    values = np.cumsum(np.random.default_rng(step).integers(0, 2 * step, 3000))
+    e = ngram_trie.EliasFano(*ngram_trie.EliasFano.encode(values))
+    assert (e.get(np.arange(3000)) == values).all()
+    x = np.concatenate([values, values + 1, [0, int(values[-1]) * 3]])
+    at, there = e.successor(x, np.zeros(len(x), np.int64), np.full(len(x), 3000))
+    assert (at == np.searchsorted(values, x)).all() and (there == np.isin(x, values)).all()
 
 
 def test_sketch(docs, rows):
