@@ -517,15 +517,16 @@ def scored(docs: DataFrame, mu: tuple[float, float] = MU, folds: int = 7, held:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == held).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = checkpoint(rows.mapInArrow(_encode(block_tokens), ROW))
-    tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    n_shards = max(shuffle_parts(spark), int(tokens // shard_tokens) + 1)
+    tokens, n_blocks = blocks.agg(F.sum("n"), F.count("n")).first()
+    n_shards = max(shuffle_parts(spark), int((tokens or 0) // shard_tokens) + 1)
+    n_blocks = max(shuffle_parts(spark), n_blocks)  # parts that blocks are dealt over
     hot = HOT * shard_tokens
     sent = lambda df: df.repartition(n_shards, "shard").sortWithinPartitions("shard", "block")
     words = checkpoint(sent(blocks.mapInArrow(_send_words(n_shards), ROW)).mapInArrow(_count_words, ROW))
     n_all, n_words, top = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("v"), F.max("top")).first())
     top = (top + 1) * n_shards  # ids are below
-    grouped = lambda df, name: df.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias(name))
-    known = blocks.select("block", "payload").join(grouped(words, "words"), "block")
+    grouped = lambda df, name: df.where("block >= 0").repartition(n_blocks, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "payload")).alias(name))
+    known = blocks.select("block", "payload").repartition(n_blocks, "block").join(grouped(words, "words"), "block")
 
     def view(row: dict) -> View:
         out = View(row["payload"], row["words"], n_shards)
