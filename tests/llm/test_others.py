@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,14 +50,34 @@ def test_url_rules(spark):
 
 
 def test_url_trees_learn(spark):
-    """Accuracy on judged URLs that the trees haven't seen: they learn from half, the smaller by hash."""
+    """Balanced accuracy on judged URLs that the trees haven't seen (they learn from half, the smaller by hash), and both
+    verdicts for URLs without a rule."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     ruled = url_trees.lexical(pages).where("rule is not null").select("page_id", F.xxhash64("url").alias("h"), "url", "ruled").toPandas().sort_values(["h", "url"])
     half = len(ruled) // 2
-    got = url_trees.judged(pages, max_labelled=half).select("page_id", "block_probability").toPandas()
+    got = url_trees.judged(pages, max_labelled=half).select("page_id", "rule", "verdict", "block_probability").toPandas()
     unseen = ruled.iloc[half:].merge(got, on="page_id")
     right = (unseen.block_probability > 0.5) == (unseen.ruled == "block")
-    assert len(unseen) > 200 and right.mean() > max(0.9, (unseen.ruled == "block").mean() - 0.02)
+    balanced = np.mean([right[unseen.ruled == v].mean() for v in ("block", "allow")])
+    assert len(unseen) > 200 and balanced > 0.9
+    free = got[got.rule.isna()]
+    assert 0.02 < (free.verdict == "allow").mean() < 0.98
+
+
+def test_url_suffix_statistics(spark):
+    """Over salted keys as over one broadcast, and without the URL's own part."""
+    rows = url_trees.lexical(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    pick = lambda small: sorted(map(tuple, url_trees._with_suffix_statistics(rows, small).select("page_id", "url", "ruled", "suffix", "suffix_share", "suffix_blocked", F.pmod(F.xxhash64("url"), F.lit(url_trees.FOLDS))).collect()))
+    got = pick(1 << 20)
+    assert got == pick(0) and len(got) == rows.count()
+    for _, _, _, suffix, share, blocked, fold in got[:40]:
+        rest = [r for r in got if r[3] == suffix and r[6] != fold and r[2] is not None]
+        assert abs(share - sum(r[3] == suffix for r in got) / len(got)) < 1e-12 and abs(blocked - (sum(r[2] == "block" for r in rest) + 1) / (len(rest) + 2)) < 1e-12
+
+
+@pytest.mark.parametrize(("urls", "verdict"), [(["http://a.org/es/1", "http://b.net/x"], "block"), (["http://example.com/en/7", "http://b.net/x"], "allow"), (["http://b.net/x", None], "allow")])
+def test_url_one_verdict(spark, urls, verdict):
+    assert {r.verdict for r in url_trees.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()} == {verdict}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
