@@ -9,7 +9,7 @@ from plumbline.llm.common import checkpoint
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node of `links` (a long, b long) that isn't its own label; the label is the component's
+    """(node, label) of every node of `links` (a, b of one type that has an order) that isn't its own label; the label is the component's
     smallest node. Each step's links are written to the shared folder; the number of steps grows with the logarithm of
     the largest component. A node with very many links meets a single row of least neighbours, so skewed joins split."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()

@@ -21,11 +21,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import graph
-from plumbline.llm.common import checkpoint, column, shuffle_parts, slices
+from plumbline.llm.common import checkpoint, column, filter_pages, marked, shuffle_parts, slices
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints that one group may hold; larger groups are split.
@@ -212,43 +212,45 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def _component_of(prints: DataFrame, group: int) -> DataFrame:
-    """(fp, label, component_id) of every distinct fingerprint of prints (doc_id, fp)."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = graph.components(links(prints, group))
-    named = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = checkpoint(named)
-    return named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
+    """(fp, label) of every distinct fingerprint of prints (doc_id, fp). A fingerprint's node is its smallest doc_id (a null
+    one after all others) and itself; the label is the component's smallest node, which the graph's steps bring to each of
+    its members, so that no component is ever gathered under one key."""
+    node = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp")
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", node.alias("node")))
+    named = lambda k: classes.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}"))
+    pairs = links(classes, group).join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    joined = graph.components(pairs).select(F.col("node.fp").alias("fp"), "label")
+    return checkpoint(classes.join(joined, "fp", "left").select("fp", F.coalesce("label", "node").alias("label")))
 
 
 def components(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, fingerprint as 16 hexadecimal digits, component_id of every row."""
     prints = checkpoint(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
     named = _component_of(prints, group)
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """docs, all columns, without the documents of a component but its smallest doc_id; among rows with that doc_id the
-    smallest digest of the text stays, and one of rows equal in both."""
+    smallest digest of the text stays, and one of rows equal in both. Only texts that may have to go are exchanged."""
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+    doc_id = F.col("doc_id").cast("long")
+    slim = docs.select(doc_id.alias("doc_id"), "text", digest.alias("digest"))
     prints = checkpoint(fingerprints(slim, ["doc_id", "digest"]))
-    keys = checkpoint(prints.join(_component_of(prints, group), "fp").groupBy(F.col("label").alias("cid"), "doc_id", "digest").count())
-    # several fingerprints share a component; its first row by (doc_id, digest), nulls last, stays
-    label = _first(keys)
-    lose = label.where(~F.col("stays")).select(F.col("doc_id").alias("__plumbline_id"), F.col("digest").alias("__plumbline_digest"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__plumbline_id")) & (digest == F.col("__plumbline_digest"))
-    left = docs.join(lose, same, "left_anti")
-    many = checkpoint(label.where(F.col("stays") & (F.col("count") > 1)).select(F.col("doc_id").alias("__plumbline_id"), F.col("digest").alias("__plumbline_digest")))
-    if many.isEmpty():
-        return left
-    w = Window.partitionBy("__plumbline_id", "__plumbline_digest").orderBy(F.lit(0))
-    repeated = left.join(many, same).withColumn("__plumbline_nth", F.row_number().over(w)).where("__plumbline_nth = 1").select(*[F.col(c) for c in docs.columns])
-    return left.join(many, same, "left_anti").unionByName(repeated)
-
-
-def _first(keys: DataFrame) -> DataFrame:
-    best = keys.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest")).alias("best"))
-    best = best.select(F.col("cid").alias("b_cid"), F.col("best.doc_id").alias("b_id"), F.col("best.digest").alias("b_digest"))
-    rows = keys.join(best, F.col("cid").eqNullSafe(F.col("b_cid")))
-    return checkpoint(rows.select("doc_id", "digest", "count", (F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest"))).alias("stays")))
+    rows = prints.groupBy("doc_id", "digest").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    rows = checkpoint(rows.join(_component_of(prints, group), "fp").select("doc_id", "digest", "n", "label"))
+    mine = F.col("doc_id").eqNullSafe(F.col("label.id"))
+    stays = rows.where(mine).groupBy("label").agg(F.min("digest").alias("s_digest")).select(F.col("label.id").alias("s_id"), "s_digest")
+    first = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest"))
+    go = rows.join(stays, first, "left_anti").select("doc_id", "digest", F.lit(False).alias("__plumbline_one"))
+    # of rows equal in both, one stays
+    go = go.unionByName(rows.where("n > 1").join(stays, first, "left_semi").select("doc_id", "digest", F.lit(True).alias("__plumbline_one")))
+    go = checkpoint(go.withColumnsRenamed({"doc_id": "__plumbline_id", "digest": "__plumbline_digest"}))
+    spot = marked(docs, F.xxhash64(doc_id, digest), filter_pages(go, F.xxhash64("__plumbline_id", "__plumbline_digest")), "__plumbline_near")
+    same = doc_id.eqNullSafe(F.col("__plumbline_id")) & (digest == F.col("__plumbline_digest"))
+    left = spot.where("not __plumbline_near").select(*docs.columns)
+    near = spot.where("__plumbline_near").join(go, same, "left")
+    left = left.unionByName(near.where("__plumbline_one is null").select(*docs.columns))
+    whole = F.first(F.struct(*docs.columns)).alias("row")  # combined before the exchange
+    one = near.where("__plumbline_one").groupBy("__plumbline_id", "__plumbline_digest").agg(whole).select("row.*")
+    return left.unionByName(one)
