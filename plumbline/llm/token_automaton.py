@@ -8,10 +8,11 @@ together to themselves, the next prefix's last token follows from these alone. T
 single numbers, other characters) is the same automaton's outer layer. States are made when a text first reaches them and
 kept in a hashed table, so each is computed once; tables are emptied when they are full.
 
-Texts are cut into chunks that run in lockstep, one table lookup for all chunks at each step. A chunk maps the state it
-starts in to the state it ends in and a count. Where a chunk starts at a text's beginning or after white space its start is
-known; otherwise its map is first taken at the resting state and again at the state that the scan over the chunks before
-really brings, until no start changes.
+Texts are cut into chunks that run in lockstep, one table lookup for all chunks at each step. A chunk's map gives, for each
+state that it may start in, the state it ends in and the tokens it emits. Where a chunk starts at a text's beginning or after
+white space that is the resting state; else those that the map of the chunk before can end in, which are added together
+for all chunks until every map is whole (as many rounds as there are different states, however many chunks). The maps are
+then composed by a parallel prefix scan, in steps of doubling width.
 
 Defined cases: null or empty text: no tokens. Special tokens' strings inside a text are one token each, and cut the text, as
 the library does by default. Repeated rows each get their row; columns other than doc_id and text are ignored.
@@ -129,6 +130,18 @@ class Bpe:
         return self._one.setdefault(end, end)
 
 
+def scan(maps: list[dict[int, tuple[int, int]]], fresh: np.ndarray) -> list[dict[int, tuple[int, int]]]:
+    """Prefix compositions of state maps (start: (end, count)), begun anew where `fresh`."""
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(maps)), 0))
+    width = 1
+    while len(more := np.flatnonzero(np.arange(len(maps)) - width >= begin)):
+        before = list(maps)
+        for j in more.tolist():
+            maps[j] = {s: (before[j][e][0], n + before[j][e][1]) for s, (e, n) in before[j - width].items() if e in before[j]}
+        width *= 2
+    return maps
+
+
 class Transducer:
     """States are (mode, window, ends, waiting): the outer mode, the symbols of the word that a token can still start in,
     for each place in the window the last token before it and the count relative to the newest place, and the byte that is
@@ -358,19 +371,25 @@ class Transducer:
         size = np.diff(np.append(first, len(codes)))
         # a text ends where the next begins
         size = np.minimum(size, begin[owner + 1] - first)
-        start = np.zeros(len(first), np.int64)
-        end, total = self.lockstep(codes, first, size, start)
-        while True:  # the scan: starts that the chunk before has now brought
-            brought = np.where(known, 0, np.concatenate([[0], end[:-1]]))
-            changed = np.flatnonzero(brought != start)
-            if not len(changed):
-                break
-            start[changed] = brought[changed]
-            end[changed], total[changed] = self.lockstep(codes, first[changed], size[changed], start[changed])
-        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-        np.add.at(out, owner, total)
+        end, total = self.lockstep(codes, first, size, np.zeros(len(first), np.int64))
+        maps = [{0: x} for x in zip(end.tolist(), total.tolist(), strict=True)]
+        ask = {j: {maps[j - 1][0][0]} for j in np.flatnonzero(~known).tolist()}
+        while ask := {j: some for j, states in ask.items() if (some := states - maps[j].keys())}:
+            at, state = (np.array(x) for x in zip(*((j, s) for j, some in ask.items() for s in some), strict=True))
+            end, total = self.lockstep(codes, first[at], size[at], state)
+            new: dict[int, set] = {}
+            for j, s, e, n in zip(at.tolist(), state.tolist(), end.tolist(), total.tolist(), strict=True):
+                maps[j][s] = e, n
+                if j + 1 < len(maps) and not known[j + 1]:
+                    new.setdefault(j + 1, set()).add(e)
+            ask = new
+        maps = scan(maps, known)
+        # a known chunk's first state is the resting one; a text's count is the sum of those of its runs of chunks
+        last = np.flatnonzero(np.append(known[1:], True))
+        np.add.at(out, owner[last], np.array([maps[j][0][1] for j in last.tolist()]))
         # a chunk that ends in white space has closed its words; else the text's end closes them
-        out[owner[last]] += np.array([self.end(int(s)) for s in end[last]])
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        out[owner[last]] += np.array([self.end(maps[j][0][0]) for j in last.tolist()])
         return out
 
 
