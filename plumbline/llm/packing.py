@@ -11,8 +11,8 @@ says, for runs of ranks of a length, in which bins they lie; ranks are counted i
 no length, however common, is numbered by one task.
 
 Defined cases: null or empty text: no tokens but the end, length 1. Ties in a length are broken by salt, doc_id and piece.
-A null doc_id is packed like any other; repeated rows are packed each. An empty table gives an empty result. Other columns
-are ignored.
+A null doc_id is packed like any other; repeated rows are packed each. A text longer than the largest capacity is cut, however
+long it is. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.bpe_codec import encoded
 from plumbline.llm.common import checkpoint, column, spread, words
 from plumbline.llm.token_automaton import counted
 
@@ -136,8 +137,27 @@ def pieces(docs: DataFrame, largest: int, tokenizer: str | None = None) -> DataF
 
 def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, price: Callable[[int], float] = cost, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, position, capacity): where each piece lies. `tokenizer`: the file of one."""
-    rows = pieces(docs, max(capacities), tokenizer).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    rows = checkpoint(rows)
+    return _placed(pieces(docs, max(capacities), tokenizer), capacities, price)
+
+
+def sequences(docs: DataFrame, ranks: str, pattern: str, end: int, capacities: tuple[int, ...] = CAPACITIES, price: Callable[[int], float] = cost) -> DataFrame:
+    """The packed sequences themselves, by the byte-level codec of `ranks`: bin_id, capacity, ids (the tokens, each document's
+    followed by `end`), segment (for each token, the number of its piece in the bin: attention stays within equal ones),
+    starts (of the pieces), doc_ids and pieces. A bin holds no more than its capacity, so no row grows with the data."""
+    rows = encoded(spread(docs.select("doc_id", "text")), ranks, pattern, ids=True).select("doc_id", F.concat("ids", F.array(F.lit(end).cast("long"))).alias("ids"))
+    largest = F.lit(max(capacities))
+    rows = rows.select("doc_id", "ids", F.posexplode(F.sequence(F.lit(0), F.size("ids") - 1, largest)).alias("piece", "start"))
+    rows = rows.select("doc_id", "piece", F.col("start").cast("long").alias("start"), F.slice("ids", F.col("start") + 1, largest).alias("ids"))
+    placed = _placed(rows.withColumn("length", F.size("ids").cast("long")), capacities, price)
+    bins = placed.groupBy("bin_id", "capacity").agg(F.sort_array(F.collect_list(F.struct("position", "doc_id", "piece", "ids"))).alias("x"))
+    segment = F.flatten(F.transform("x", lambda y, i: F.transform(y["ids"], lambda _: i)))
+    return bins.select("bin_id", "capacity", F.flatten("x.ids").alias("ids"), segment.alias("segment"), F.col("x.position").alias("starts"), F.col("x.doc_id").alias("doc_ids"), F.col("x.piece").alias("pieces"))
+
+
+def _placed(rows: DataFrame, capacities: tuple[int, ...], price: Callable[[int], float]) -> DataFrame:
+    """Pieces (doc_id, piece, start, length, and whatever they carry) with the bin of each."""
+    kept = rows.columns
+    rows = checkpoint(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
     salted = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salted = checkpoint(salted.withColumn("rank0", F.coalesce(F.sum("n").over(before), F.lit(0))))
@@ -161,10 +181,9 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, price: Cal
                 k = rank[at] - row[:, 0]
                 bin_id[at], position[at] = row[:, 2] + k // row[:, 1], row[:, 3] + k % row[:, 1] * x
             capacity = bins[np.searchsorted(bins[:, 0], bin_id, "right") - 1, 1]
-            kept = [column(batch, k) for k in ("doc_id", "piece", "start", "length")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(bin_id), pa.array(position), pa.array(capacity)], names=["doc_id", "piece", "start", "length", "bin_id", "position", "capacity"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in kept), pa.array(bin_id), pa.array(position), pa.array(capacity)], names=[*kept, "bin_id", "position", "capacity"])
 
     within = Window.partitionBy("length", "salt").orderBy(F.asc_nulls_first("doc_id"), "piece")
     ranked = rows.withColumn("nth", F.row_number().over(within) - 1).join(salted.select("length", "salt", "rank0"), ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("rank0") + F.col("nth")).cast("long").alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, bin_id long, position long, capacity long")
+    ranked = ranked.select(*kept, (F.col("rank0") + F.col("nth")).cast("long").alias("rank"))
+    return ranked.mapInArrow(place, rows.select(*kept, *[F.lit(0).cast("long").alias(k) for k in ("bin_id", "position", "capacity")]).schema)

@@ -425,3 +425,98 @@ def test_packing(docs, rows):
         some.sort(key=lambda r: r.position)
         used = sum(r.length for r in some)
         assert [r.position for r in some] == [sum(x.length for x in some[:k]) for k in range(len(some))] and {r.capacity for r in some} == {min(c for c in packing.CAPACITIES if c >= used)}
+
+
+def least_cost(lengths, capacities):
+    """The cheapest division of lengths into bins, by trying all."""
+    best = math.inf
+
+    def go(i, bins):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, sum(packing.cost(min(c for c in capacities if c >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(capacities):
+                go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_several_capacities():
+    """Never above a quarter more than the least cost of all divisions, and near it on average."""
+    r, ratios = random.Random(11), []
+    for _ in range(60):
+        lengths = sorted(r.choice([r.randint(1, 16), r.randint(1, 64)]) for _ in range(7))
+        capacities = (8, 16, 32, 64)
+        runs, shut = packing.plan(dict(collections.Counter(lengths)), capacities)
+        used = collections.Counter()
+        for x in runs:
+            for b in range(x.bins):
+                used[x.bin0 + b] += x.each * x.length
+        assert collections.Counter(x.length for x in runs for _ in range(x.bins * x.each)) == collections.Counter(lengths)
+        assert all(g.used == used[g.bin0 + b] <= g.capacity == min(c for c in capacities if c >= g.used) for g in shut for b in range(g.bins))
+        ratios.append(sum(packing.cost(g.capacity) * g.bins for g in shut) / least_cost(lengths, capacities))
+    assert max(ratios) < 1.4 and np.mean(ratios) < 1.12
+
+
+def test_sequences(docs, rows):
+    ranks = public_tokenizers.path(MULTI_BPE)
+    coder = bpe_codec.Codec(ranks, public_tokenizers.PATTERN)
+    got = packing.sequences(docs.where("doc_id <> 61"), ranks, public_tokenizers.PATTERN, end=-1).collect()
+    texts = collections.defaultdict(dict)
+    for r in got:
+        assert len(r.ids) == len(r.segment) <= r.capacity and r.starts[0] == 0 and r.segment == sorted(r.segment)
+        for k, (doc_id, piece) in enumerate(zip(r.doc_ids, r.pieces, strict=True)):
+            ids = [x for x, g in zip(r.ids, r.segment, strict=True) if g == k]
+            assert r.ids[r.starts[k] : r.starts[k] + len(ids)] == ids
+            texts[doc_id][piece] = ids
+    want = {i: t or "" for i, t, *_ in rows if i not in (None, 61)}
+    assert texts.keys() == want.keys()
+    for i, parts in texts.items():
+        assert sum((parts[k] for k in sorted(parts)), []) == [*coder.encode(want[i]), -1]
+
+
+def test_state_maps_of_unbroken_texts(monkeypatch):
+    """Chunks of texts without spaces: prefix compositions against running the chunks one after the other."""
+    monkeypatch.setattr(token_automaton, "CHUNK", 7)
+    counter, library = token_automaton.Counter(public_tokenizers.path(WORD_BPE)), Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+    runs = []
+    lockstep = token_automaton.Transducer.lockstep
+    monkeypatch.setattr(token_automaton.Transducer, "lockstep", lambda self, *a: runs.append(1) or lockstep(self, *a))
+    for text in ("x" * 4000, "ab" * 2000, "".join(random.Random(2).choice("abcde") for _ in range(4000)), "é日" * 900, "a b" + "-" * 3000 + " c"):
+        runs.clear()
+        assert counter.counts([text, "", text[:50]]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in (text, "", text[:50])]
+        assert len(runs) < 100  # over 500 chunks
+    r = random.Random(3)
+    maps = [{s: (r.randrange(4), r.randrange(9)) for s in range(4)} for _ in range(23)]
+    fresh = np.array([j in (0, 1, 9) for j in range(23)])
+    got = token_automaton.scan(list(maps), fresh)
+    for j in range(23):
+        begin = max(k for k in (0, 1, 9) if k <= j)
+        for s in range(4):
+            state, n = s, 0
+            for k in range(begin, j + 1):
+                state, n = maps[k][state][0], n + maps[k][state][1]
+            assert got[j][s] == (state, n)
+
+
+def test_one_of_many_equal_rows(spark):
+    text, other = prose(1, 60), prose(2, 80)
+    rows = [(5, text, None)] * 300 + [(9, text, "x")] * 20 + [(None, other, "y")] * 30 + [(7, None, "z"), (8, "", "z")]
+    left = simhash_gray.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(7)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(5, text), (None, other), (7, None)], key=str)
+
+
+def test_stages_in_sequence(spark, empty, tmp_path):
+    """The pipeline's operators one after the other on an empty table and on rows of nulls and repeats, with clashing names."""
+    odd = [(1, prose(3, 90), "en", "s", 5, "k", "f", "h", "n", "b")] * 3 + [(None, None, None, None, None, None, None, None, None, None), (2, "", "en", None, 0, "k", "f", "h", "n", "b")]
+    for k, docs in enumerate((empty, spark.createDataFrame(odd, SCHEMA))):
+        for i, stage in enumerate((mcd_rules.kept, simhash_gray.one_of_each, suffix_dedup.without_repeats, packing.packed)):
+            out = stage(docs)
+            assert i == 3 or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{k}{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}{i}"))
+        assert docs.count() == k
