@@ -16,9 +16,10 @@ def components(links: DataFrame) -> DataFrame:
     links = checkpoint(links)
     while True:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        # written, so that the joins are of plain exchanges, whose large partitions Spark splits
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpoint(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        low = checkpoint(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("x"))
         links = checkpoint(small.select("x.*").where("hi <> lo").distinct())
         # done when nobody's label has a smaller one itself, which also leaves each node one label
