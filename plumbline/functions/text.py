@@ -50,8 +50,9 @@ def normalise(text: Column, full: bool = False) -> Column:
     s = F.lower(strip_html(F.coalesce(text, F.lit("")), full))
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s-]", " ")
     s = F.regexp_replace(F.regexp_replace(s, "-{2,}", "-"), r"\s+", " ")
-    parts = F.transform(F.split(F.trim(s), " "), lambda t: F.regexp_replace(t, "^[-_]+|[-_]+$", ""))
-    return F.array_join(F.filter(parts, lambda t: (t != "") & ~t.isin(*BOILERPLATE)), " ")
+    s = F.regexp_replace(s, r"(?<![^ ])[-_]+|[-_]+(?![^ ])", "")  # at the edges of words
+    s = F.regexp_replace(s, rf"(?<![^ ])(?:{'|'.join(BOILERPLATE)})(?![^ ])", "")
+    return F.trim(F.regexp_replace(s, " {2,}", " "))
 
 
 def token_count(normalised: Column) -> Column:

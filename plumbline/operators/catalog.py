@@ -90,9 +90,10 @@ def postings(docs: DataFrame, doc: str, phrases: str) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), F.posexplode(F.array_distinct(F.col(phrases))).alias("position", "phrase"))
 
 
-def smoothed_idf(posted: DataFrame, n: Column) -> DataFrame:
-    """(phrase, df, idf) with idf = ln((n + 1) / (df + 1)) + 1."""
-    return posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df")).withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+def smoothed_idf(posted: DataFrame, n: DataFrame) -> DataFrame:
+    """(phrase, df, idf) with idf = ln((n + 1) / (df + 1)) + 1; n: one row (n) with the number of documents."""
+    df = posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
+    return df.join(F.broadcast(n)).select("phrase", "df", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
 
 
 def ranked(rows: DataFrame, by: list[Column], name: str = "rank", within: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,10 @@ the first k of each query are kept before the exchange (Spark pushes the limit b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +23,11 @@ def best(hits: DataFrame, k: int, query: list[str], score: str = "score", doc: s
     return hits.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
 
 
-def small(df: DataFrame, rows: int, at_most: int = 200_000) -> DataFrame:
-    """Broadcasts a side whose row count has been checked; beyond the bound the join is left to Spark."""
-    return F.broadcast(df) if rows <= at_most else df
-
-
 def exact_phrases(constraints: DataFrame, posted: DataFrame, idf: DataFrame, leaves: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """constraints (query, phrase, confidence[, category]): the sum of confidence times idf over matched phrases, and a
-    boost for documents (leaves: doc, leaf) of the wanted category."""
-    hits = constraints.select("query", "phrase", F.greatest("confidence", F.lit(0.0)).alias("c")).join(posted.select("phrase", "doc").distinct(), "phrase").join(idf.select("phrase", "idf"), "phrase").select("query", "doc", (F.col("c") * F.col("idf")).alias("s"))
+    boost for documents (leaves: doc, leaf) of the wanted category. posted: distinct (phrase, doc); idf: of the phrases that
+    are asked for at least."""
+    hits = constraints.select("query", "phrase", F.greatest("confidence", F.lit(0.0)).alias("c")).join(posted.select("phrase", "doc"), "phrase").join(idf.select("phrase", "idf"), "phrase").select("query", "doc", (F.col("c") * F.col("idf")).alias("s"))
     if leaves is not None:
         wanted = constraints.where(F.col("category").isNotNull()).select("query", F.col("category").alias("leaf")).distinct()
         hits = hits.unionByName(wanted.join(leaves.select("doc", "leaf"), "leaf").select("query", "doc", F.lit(config.leaf_boost).alias("s")))
@@ -37,22 +37,24 @@ def exact_phrases(constraints: DataFrame, posted: DataFrame, idf: DataFrame, lea
 
 def rare_constraints(disclosed: DataFrame, posted: DataFrame, k: int = DEFAULT.k_exact) -> DataFrame:
     """disclosed (query, phrase): 20 / df for each matched constraint, 0.25 where over 50 documents have it."""
-    pairs = posted.select("phrase", "doc").distinct()
+    pairs = posted.select("phrase", "doc").join(disclosed.select("phrase").distinct(), "phrase", "left_semi")
     df = pairs.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     weight = F.when(F.col("df") > 50, 0.25).otherwise(20.0 / F.col("df"))
     hits = disclosed.select("query", "phrase").distinct().join(df, "phrase").join(pairs, "phrase").groupBy("query", "doc").agg(F.round(F.sum(weight), 6).alias("score"))
     return best(hits, k, ["query"])
 
 
-def term_counts(docs: DataFrame, doc: str, terms: str) -> DataFrame:
-    """(doc, term, tf, dl)."""
+def term_counts(docs: DataFrame, doc: str, terms: str, asked: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl), of the terms of `asked` (term) alone where it is given: others are never counted or exchanged."""
     rows = docs.select(F.col(doc).alias("doc"), F.size(terms).alias("dl"), F.explode(terms).alias("term"))
+    if asked is not None:
+        rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(queries: DataFrame, counts: DataFrame, lengths: DataFrame, k: int = DEFAULT.k_lexical, k1: float = DEFAULT.bm25_k1, b: float = DEFAULT.bm25_b) -> DataFrame:
-    """queries (query, term), distinct; counts (doc, term, tf, dl); lengths (doc, dl) of all documents. Only the postings of
-    the queries' terms are scored."""
+    """queries (query, term), distinct; counts (doc, term, tf, dl) of the queries' terms at least; lengths (doc, dl) of all
+    documents. Only the postings of the queries' terms are scored."""
     total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
     asked = queries.select("term").distinct()
     posted = counts.join(asked, "term")
@@ -66,7 +68,7 @@ def weighted_fields(queries: DataFrame, fields: DataFrame, weights: dict[str, fl
     """BM25 over several fields as one: a term's frequency is the weighted sum over fields (doc, field, terms), a
     document's length the plain one."""
     weight = F.coalesce(F.element_at(F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field")), F.lit(1.0))
-    rows = fields.select("doc", weight.alias("w"), F.explode("terms").alias("term"))
+    rows = fields.select("doc", weight.alias("w"), F.explode("terms").alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
     lengths = fields.groupBy("doc").agg(F.sum(F.size("terms")).alias("dl"))
     counts = rows.groupBy("doc", "term").agg(F.sum("w").alias("tf")).join(lengths, "doc")
     return bm25(queries, counts, lengths, k, k1, b)
@@ -81,34 +83,72 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
+#: Vectors of a block of queries or of documents, whose products are one matrix product.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame, id_: str) -> DataFrame:
+    """(ids, dim, vectors): up to BLOCK unit vectors of a part, as the bytes of one matrix."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(k, BLOCK)
+                ids, vectors = part.column(0).to_pylist(), part.column(1).to_pylist()
+                m = np.array(vectors, np.float64)
+                m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([ids], pa.list_(pa.int64())), "dim": pa.array([m.shape[1]], pa.int32()), "vectors": pa.array([m.tobytes()], pa.binary())})
+
+    return rows.select(F.col(id_).cast("long"), "vector").where("vector is not null").mapInArrow(pack, "ids array<long>, dim int, vectors binary")
+
+
 def nearest(queries: DataFrame, docs: DataFrame, k: int = DEFAULT.k_dense) -> DataFrame:
-    """queries (query, vector), a stated set, against all docs (doc, vector): exact cosine, the best k of each. Queries are
-    dealt with in blocks that fit a broadcast; every document meets each block once."""
-    q = queries.select("query", unit(F.col("vector")).alias("qv"))
-    d = docs.select("doc", unit(F.col("vector")).alias("dv"))
-    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(8)).alias("block")).agg(F.collect_list(F.struct("query", "qv")).alias("some"))
-    hits = d.join(packed).select("doc", "dv", F.explode("some").alias("q")).select(F.col("q.query").alias("query"), "doc", F.round(dot(F.col("q.qv"), F.col("dv")), 6).alias("score"))
+    """queries (query, vector), a stated set, against all docs (doc, vector), all of one dimension: exact cosine, the best k
+    of each. Every block of documents meets every block of queries in one matrix product, of which the best k of each query
+    stay, so what is exchanged is k rows for each query and block at most."""
+    q = _blocks(queries, "query").toDF("q_ids", "q_dim", "q_vectors")
+    d = _blocks(docs, "doc")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                ids, asked = np.array(r["ids"], np.int64), np.array(r["q_ids"], np.int64)
+                m, v = np.frombuffer(r["vectors"]).reshape(-1, r["dim"]), np.frombuffer(r["q_vectors"]).reshape(-1, r["q_dim"])
+                s = np.round(v @ m.T, 6)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                yield pa.RecordBatch.from_pydict({"query": np.repeat(asked, order.shape[1]), "doc": ids[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
+
+    hits = d.join(q, how="cross").mapInArrow(score, "query long, doc long, score double")
     return best(hits, k, ["query"])
 
 
-def pool_ranks(turns: DataFrame, products: DataFrame, posted: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The additive score of every product of a turn's pool.
+def pool_evidence(turns: DataFrame, products: DataFrame, posted: DataFrame) -> DataFrame:
+    """Every product of a turn's pool with what speaks for it.
 
-    turns (query, bucket, constraints, vocab); products (doc, bucket, tokens, boost, count, price); posted (phrase, doc,
-    position). 20 / df for each matched constraint, half a point for an equal position, a small penalty for its distance,
-    shared words, popularity; of the best max(rerank_k, top_k) the second pass adds matches, popularity and closeness to a
-    budget. An unknown bucket means the whole catalog, a branch of its own, so that the equi-join stays one."""
+    turns (query, bucket, constraints, vocab); products (doc, bucket, tokens, ...); posted (phrase, doc, position). `exact`
+    sums 20 / df over matched constraints, `same` counts equal positions, `distance` sums how far they are off, `matches`
+    counts them, `overlap` the shared words. An unknown bucket means the whole catalog, a branch of its own, so that the
+    equi-join stays one."""
     known = products.select("bucket").distinct().withColumn("known", F.lit(True))
     marked = turns.join(known, "bucket", "left")
-    side = products.select("doc", "bucket", "tokens", "boost", "count", "price")
-    pool = marked.where("known").drop("known").join(side, "bucket").unionByName(marked.where("known is null").drop("known", "bucket").join(side))
+    pool = marked.where("known").drop("known").join(products, "bucket").unionByName(marked.where("known is null").drop("known", "bucket").join(products))
     asked = turns.select("query", F.posexplode("constraints").alias("seen_at", "phrase"))
-    df = posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
-    matched = asked.join(df, "phrase").join(posted, "phrase").groupBy("query", "doc").agg(
-        F.sum(20.0 / F.col("df")).alias("exact"), F.sum(F.when(F.col("position") == F.col("seen_at"), 0.5).otherwise(0.0)).alias("same"), F.sum(F.abs(F.col("position") - F.col("seen_at"))).alias("distance"), F.count(F.lit(1)).alias("matches"),
+    told = posted.join(asked.select("phrase").distinct(), "phrase", "left_semi")
+    df = told.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
+    matched = asked.join(df, "phrase").join(told, "phrase").groupBy("query", "doc").agg(
+        F.sum(20.0 / F.col("df")).alias("exact"), F.count_if(F.col("position") == F.col("seen_at")).alias("same"), F.sum(F.abs(F.col("position") - F.col("seen_at"))).alias("distance"), F.count(F.lit(1)).alias("matches"),
     )
     rows = pool.join(matched, ["query", "doc"], "left").na.fill(0, ["exact", "same", "distance", "matches"])
-    base = F.col("exact") + F.col("same") - 0.05 * F.col("distance") + 0.05 * F.size(F.array_intersect("tokens", "vocab")) + F.col("boost")
+    return rows.withColumn("overlap", F.size(F.array_intersect("tokens", "vocab")))
+
+
+def pool_ranks(turns: DataFrame, products: DataFrame, posted: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The additive score of every product of a turn's pool (products with boost, count and price): what `pool_evidence`
+    has, and popularity; of the best max(rerank_k, top_k) the second pass adds matches, popularity and closeness to a budget.
+    With a top_k beyond the catalog's size nothing is cut, and every product has its rank."""
+    rows = pool_evidence(turns, products.select("doc", "bucket", "tokens", "boost", "count", "price"), posted)
+    base = F.col("exact") + 0.5 * F.col("same") - 0.05 * F.col("distance") + 0.05 * F.col("overlap") + F.col("boost")
     rows = best(rows.withColumn("base", F.round(base, 6)), max(config.rerank_k, config.top_k), ["query"], "base", name="first_rank")
     told = F.array_compact(F.transform("constraints", lambda c: F.nullif(F.regexp_extract(c, r"\$\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))))
     budget = F.get(told, F.lit(0)).cast("double")
@@ -117,6 +157,31 @@ def pool_ranks(turns: DataFrame, products: DataFrame, posted: DataFrame, config:
     return best(rows.withColumn("score", F.round(final, 6)), config.top_k, ["query"]).select("query", "doc", "base", "first_rank", "score", "rank")
 
 
+#: Formulas that weigh the evidence otherwise, as weights of its parts. Fixed values.
+FORMULAS = {
+    "current": {"exact": 1.0, "overlap": 0.05},
+    "count_first": {"matches": 10.0, "exact": 1.0, "overlap": 0.05},
+    "position": {"exact": 1.0, "same": 0.5, "distance": -0.05, "overlap": 0.05},
+    "phrase_text": {"exact": 1.0, "in_text": 0.2, "overlap": 0.05},
+    "pop_tiny": {"exact": 1.0, "overlap": 0.05, "log_count": 0.01, "stars": 0.01},
+    "pop_small": {"exact": 1.0, "overlap": 0.05, "log_count": 0.05, "stars": 0.02},
+    "pop_rank_tiny": {"exact": 1.0, "overlap": 0.05, "pop_rank": -0.000001},
+    "count_pop": {"matches": 10.0, "exact": 1.0, "overlap": 0.05, "log_count": 0.05, "stars": 0.02},
+    "position_pop": {"exact": 1.0, "same": 0.5, "distance": -0.05, "overlap": 0.05, "log_count": 0.05},
+    "all_features": {"matches": 10.0, "exact": 1.0, "same": 0.5, "distance": -0.05, "in_text": 0.2, "overlap": 0.05, "log_count": 0.03, "stars": 0.01},
+}
+
+
+def formula_ranks(turns: DataFrame, products: DataFrame, posted: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
+    """(variant, query, doc, score, rank): the best k of the whole pool by each of FORMULAS. products (doc, bucket, tokens,
+    search_text, count, stars, pop_rank)."""
+    rows = pool_evidence(turns, products, posted)
+    rows = rows.withColumns({"in_text": F.size(F.filter("constraints", lambda c: F.col("search_text").contains(F.lower(c)))), "log_count": F.log1p(F.greatest("count", F.lit(0)).cast("double")), "pop_rank": F.coalesce("pop_rank", F.lit(999_999))})
+    score = lambda parts: F.round(sum((w * F.col(c) for c, w in parts.items()), F.lit(0.0)), 9)
+    each = rows.select("query", "doc", F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), score(parts).alias("score")) for name, parts in FORMULAS.items()])).alias("x"))
+    return best(each.select("x.variant", "query", "doc", "x.score"), k, ["variant", "query"])
+
+
 def backfilled(ranked: DataFrame, popular: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
     """Exactly min(k, catalog) distinct documents for each query: its own ranking, then the most popular it lacks. Of the
     popular, only as many as could be needed meet the queries."""

@@ -120,10 +120,9 @@ def intent_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT phrase, count(*) AS df, round(ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1.0) / (count(*) + 1.0)) + 1, 6) AS idf FROM t GROUP BY phrase""")
 def phrase_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    n = docs.select(F.count_distinct("doc_id").alias("n_docs"))
+    n = docs.select(F.count_distinct("doc_id").alias("n"))
     posted = docs.select(F.col("doc_id").alias("doc"), F.explode(text.word_set(F.col("text"))).alias("phrase"))
-    df = posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
-    return df.join(F.broadcast(n)).select("phrase", "df", F.round(F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1, 6).alias("idf"))
+    return cat.smoothed_idf(posted, n).select("phrase", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("""SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")

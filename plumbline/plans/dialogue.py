@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.config import DEFAULT
 from plumbline.functions import lexicon, text, utterance
 from plumbline.operators import catalog as cat
 from plumbline.operators import evaluation, question, ranking, retrieval, sessions
 from plumbline.plans.cleaning import CARDS, part_cards
 from plumbline.plans.registry import CATALOG, listed, query
-from plumbline.plans.search import FUSED, POOL, lexical_hits, phrase_hits, pool_turns, two_routes
+from plumbline.plans.search import FUSED, WHOLE_POOL, lexical_hits, phrase_hits, pool_turns, two_routes
 from plumbline.sources.tables import materialised, table
 
 MESSAGES = """CASE p_partkey % 10 WHEN 0 THEN 'I''m looking for ' || p_name || '. A key requirement is: ' || p_brand || '.' WHEN 1 THEN 'I''m looking for ' || p_name || ', but I''m still exploring.' WHEN 2 THEN 'I''m looking for ' || p_name || '. Prefer ' || p_type
@@ -224,10 +227,12 @@ def decline_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.trim("text")).isin(*lexicon.DECLINES).alias("exact"), F.length("text").cast("bigint").alias("chars"))
 
 
-@query(f"""WITH {POOL}, r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM pool), t AS (SELECT c_custkey AS query, (c_custkey * 7) % (SELECT count(*) FROM part) AS doc FROM customer)
-SELECT t.query, CASE WHEN r.rank IS NULL OR r.rank > 10 THEN 'miss' WHEN r.rank <= 3 THEN CAST(r.rank AS VARCHAR) ELSE '4-10' END AS bucket FROM t LEFT JOIN r USING (query, doc)""")
+@query(f"""WITH {WHOLE_POOL}, r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM pool), t AS (SELECT c_custkey AS query, (c_custkey * 7) % (SELECT count(*) FROM part) AS doc FROM customer)
+SELECT t.query, r.rank, CASE WHEN r.rank IS NULL THEN 'miss' WHEN r.rank <= 3 THEN CAST(r.rank AS VARCHAR) WHEN r.rank <= 10 THEN '4-10' WHEN r.rank <= 50 THEN '11-50' ELSE '51+' END AS bucket FROM t LEFT JOIN r USING (query, doc)""")
 def target_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = retrieval.pool_ranks(*pool_turns(spark, sf_dir)).select("query", "doc", "rank")
+    """Each target's rank among all products of its turn's pool."""
+    turns, products, posted = pool_turns(spark, sf_dir)
+    ranked = retrieval.pool_ranks(turns, products, posted, replace(DEFAULT, top_k=(1 << 31) - 1)).select("query", "doc", "rank")
     n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
     t = table(spark, sf_dir, "customer").join(F.broadcast(n)).select(F.col("c_custkey").alias("query"), (F.col("c_custkey") * 7 % F.col("n")).alias("doc"))
-    return t.join(ranked, ["query", "doc"], "left").select("query", evaluation.rank_bucket(F.col("rank")).alias("bucket"))
+    return t.join(ranked, ["query", "doc"], "left").select("query", "rank", evaluation.rank_bucket(F.col("rank")).alias("bucket"))

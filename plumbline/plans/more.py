@@ -50,7 +50,7 @@ def recovery_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = part_cards(spark, sf_dir)
     posted = cat.postings(cards, "doc", "constraints").select("phrase", "doc")
     n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
-    idf = posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df")).join(F.broadcast(n)).withColumn("idf", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1)
+    idf = cat.smoothed_idf(posted, n)
     targets = table(spark, sf_dir, "customer").join(F.broadcast(n)).select(F.col("c_custkey").alias("query"), (F.col("c_custkey") * 7 % F.col("n")).alias("doc"))
     asked = targets.join(cards, "doc").select("query", F.posexplode(F.slice("constraints", 1, 4)).alias("j", "phrase")).where("j > 0").select("query", "phrase", (1.0 / (F.col("j") + 1)).alias("confidence"))
     return retrieval.recovered(asked, posted, idf)

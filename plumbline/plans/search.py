@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.config import DEFAULT
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
 from plumbline.operators import ranking, retrieval
 from plumbline.plans.cleaning import CARDS, catalog, part_cards
-from plumbline.plans.registry import CATALOG, query
+from plumbline.plans.registry import CATALOG, listed, query
 from plumbline.sources.tables import table
 
 K = 10
@@ -21,8 +22,9 @@ def _terms(df: DataFrame, id_: str) -> DataFrame:
 
 def lexical_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs, asked = _terms(table(spark, sf_dir, "documents"), "doc_id"), _terms(table(spark, sf_dir, "benchmark"), "item_id")
-    counts = retrieval.term_counts(docs, "id", "w")
-    return retrieval.bm25(asked.select(F.col("id").alias("query"), F.explode(F.array_distinct("w")).alias("term")), counts, docs.select(F.col("id").alias("doc"), F.size("w").alias("dl")), k)
+    asked = asked.select(F.col("id").alias("query"), F.explode(F.array_distinct("w")).alias("term"))
+    counts = retrieval.term_counts(docs, "id", "w", asked)
+    return retrieval.bm25(asked, counts, docs.select(F.col("id").alias("doc"), F.size("w").alias("dl")), k)
 
 
 BM25 = """t AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), dl AS (SELECT doc, len(w) AS dl FROM t),
@@ -39,11 +41,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.word_set(F.col("text"))).alias("phrase"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("category"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(text.word_set(F.col("text"))).alias("phrase"))
+    docs = docs.join(asked.select("phrase").distinct(), "phrase", "left_semi").select("doc", "phrase")
     n = table(spark, sf_dir, "documents").select(F.count_distinct("doc_id").alias("n"))
-    idf = docs.groupBy("phrase").agg(F.count_distinct("doc").alias("df")).join(F.broadcast(n)).withColumn("idf", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.word_set(F.col("text"))).alias("phrase"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("category"))
-    return retrieval.exact_phrases(asked, docs, idf)
+    return retrieval.exact_phrases(asked, docs, cat.smoothed_idf(docs, n))
 
 
 EXACT = """p AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS phrase FROM documents),
@@ -69,20 +71,26 @@ def intent_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rare_constraints(asked, cat.postings(cards, "doc", "constraints"), K).select("query", "doc", "score", "rank")
 
 
-FIELD_WEIGHTS = {"title": 6.0, "store": 1.5, "type": 4.0}
+FIELD_WEIGHTS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5, "store": 1.5, "description": 1.0}
+#: Distinct terms of a message that are searched for.
+MOST_TERMS = 40
+_FIELDS = {"title": "p_name", "categories": "p_type", "features": "concat('for ', p_type, ' size ', p_size)", "details": "concat('brand ', p_brand)", "store": "p_brand", "description": "concat(p_name, ' by ', p_brand)"}
+_MESSAGE = "concat('I am looking for a ', p_type, ' ', p_name, ' by ', p_brand, ', please!')"
 
 
-@query(f"""WITH f AS (SELECT p_partkey AS doc, 6.0::DOUBLE AS w, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS t FROM part UNION ALL SELECT p_partkey, 1.5, regexp_extract_all(lower(p_brand), '[a-z0-9]+') FROM part UNION ALL SELECT p_partkey, 4.0, regexp_extract_all(lower(p_type), '[a-z0-9]+') FROM part),
+@query(f"""WITH f AS ({' UNION ALL '.join(f"SELECT p_partkey AS doc, {FIELD_WEIGHTS[k]}::DOUBLE AS w, regexp_extract_all(lower({x}), '[a-z0-9]+') AS t FROM part" for k, x in _FIELDS.items())}),
 dl AS (SELECT doc, sum(len(t)) AS dl FROM f GROUP BY doc), tf AS (SELECT doc, term, sum(w) AS tf FROM (SELECT doc, w, unnest(t) AS term FROM f) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-q AS (SELECT DISTINCT p_type || ' ' || p_name AS query, unnest(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+')) AS term FROM part),
+m AS (SELECT DISTINCT {_MESSAGE} AS query FROM part), a AS (SELECT query, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: length(x) > 1 AND NOT list_contains({listed(text.BASELINE_STOP)}, x)) AS terms FROM m),
+q AS (SELECT query, unnest(list_filter(terms, lambda x, i: list_position(terms, x) = i)[1:{MOST_TERMS}]) AS term FROM a),
 d AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term, n),
 h AS (SELECT query, doc, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN d USING (term) JOIN tf USING (term) JOIN dl USING (doc), n GROUP BY query, doc)
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score > 0 QUALIFY rank <= {K}""")
 def fts_weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without stop words and single letters, at most MOST_TERMS terms each, against six weighted fields."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     p = table(spark, sf_dir, "part")
-    fields = p.select(F.col("p_partkey").alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(c).alias("terms")) for f, c in (("title", "p_name"), ("store", "p_brand"), ("type", "p_type"))])).alias("x")).select("doc", "x.*")
-    asked = p.select(F.concat_ws(" ", "p_type", "p_name").alias("query")).distinct().select("query", F.explode(F.array_distinct(words("query"))).alias("term"))
+    fields = p.select(F.col("p_partkey").alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.expr(x)).alias("terms")) for f, x in _FIELDS.items()])).alias("x")).select("doc", "x.*")
+    asked = p.select(F.expr(_MESSAGE).alias("query")).distinct().select("query", F.explode(F.slice(F.array_distinct(text.query_terms(F.col("query"))), 1, MOST_TERMS)).alias("term"))
     return retrieval.weighted_fields(asked, fields, FIELD_WEIGHTS, K).select("query", "doc", "score", "rank")
 
 
@@ -105,15 +113,19 @@ def pool_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return turns, products, posted
 
 
-POOL = f"""{CATALOG}, {CARDS}, p AS (SELECT doc, i - 1 AS position, constraints[i] AS phrase FROM cards, generate_series(1, 10) AS g(i) WHERE i <= len(constraints)), d AS (SELECT phrase, count(DISTINCT doc) AS df FROM p GROUP BY phrase),
+_POOL = f"""{CATALOG}, {CARDS}, p AS (SELECT doc, i - 1 AS position, constraints[i] AS phrase FROM cards, generate_series(1, 10) AS g(i) WHERE i <= len(constraints)), d AS (SELECT phrase, count(DISTINCT doc) AS df FROM p GROUP BY phrase),
 turns AS (SELECT c_custkey AS query, bucket, list_slice(constraints, 1, 3) AS cs FROM customer JOIN cards ON doc = (c_custkey * 7) % (SELECT count(*) FROM part)),
 q AS (SELECT query, i - 1 AS seen_at, cs[i] AS phrase FROM turns, generate_series(1, 3) AS g(i) WHERE i <= len(cs)),
 m AS (SELECT query, doc, sum(20.0::DOUBLE / df) AS exact, sum(CASE WHEN position = seen_at THEN 0.5::DOUBLE ELSE 0 END) AS same, sum(abs(position - seen_at)) AS distance, count(*) AS matches FROM q JOIN d USING (phrase) JOIN p USING (phrase) GROUP BY query, doc),
-v AS (SELECT query, bucket, list_distinct(regexp_extract_all(lower(array_to_string(cs, ' ')), '[a-z0-9]+')) AS vocab, TRY_CAST(nullif(regexp_extract(array_to_string(cs, '|'), '\\$\\s*([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS budget FROM turns),
-s AS (SELECT v.query, c.doc, cnt, c.price, budget, coalesce(matches, 0) AS matches, round(coalesce(exact, 0) + coalesce(same, 0) - 0.05::DOUBLE * coalesce(distance, 0) + 0.05::DOUBLE * len(list_intersect(vocab, list_distinct(regexp_extract_all(lower(concat(title, ' ', store, ' ', c.bucket)), '[a-z0-9]+')))) + 0.05::DOUBLE * ln(1 + cnt), 6) AS base
+v AS MATERIALIZED (SELECT query, bucket, list_distinct(regexp_extract_all(lower(array_to_string(cs, ' ')), '[a-z0-9]+')) AS vocab, TRY_CAST(nullif(regexp_extract(array_to_string(cs, '|'), '\\$\\s*([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS budget FROM turns),
+s AS MATERIALIZED (SELECT v.query, c.doc, cnt, c.price, budget, coalesce(matches, 0) AS matches, round(coalesce(exact, 0) + coalesce(same, 0) - 0.05::DOUBLE * coalesce(distance, 0) + 0.05::DOUBLE * len(list_intersect(vocab, list_distinct(regexp_extract_all(lower(concat(title, ' ', store, ' ', c.bucket)), '[a-z0-9]+')))) + 0.05::DOUBLE * ln(1 + cnt), 6) AS base
   FROM v JOIN catalog c ON c.bucket = v.bucket LEFT JOIN m ON m.query = v.query AND m.doc = c.doc),
 f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY base DESC, doc) AS first_rank FROM s QUALIFY first_rank <= 50),
-pool AS (SELECT query, doc, base, first_rank, round(base + 2.5::DOUBLE * matches + 0.05::DOUBLE * ln(1 + cnt) + 0.3::DOUBLE * (CASE WHEN budget IS NOT NULL THEN greatest(0, 1 - abs(price - budget) / greatest(budget, 1)) ELSE 0 END), 6) AS score FROM f)"""
+pool AS MATERIALIZED (SELECT query, doc, base, first_rank, round(base + 2.5::DOUBLE * matches + 0.05::DOUBLE * ln(1 + cnt) + 0.3::DOUBLE * (CASE WHEN budget IS NOT NULL THEN greatest(0, 1 - abs(price - budget) / greatest(budget, 1)) ELSE 0 END), 6) AS score FROM f)"""
+
+
+POOL = _POOL.replace("first_rank <= 50", f"first_rank <= {max(DEFAULT.rerank_k, DEFAULT.top_k)}")
+WHOLE_POOL = _POOL.replace(" QUALIFY first_rank <= 50", "")
 
 
 @query(f"WITH {POOL} SELECT query, doc, base, first_rank, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM pool QUALIFY rank <= {K}")
@@ -163,8 +175,8 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query", "doc", *[F.round(v, 6).alias(k) for k, v in made.items()])
 
 
-FEATURES = f"""{POOL}, best AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM pool QUALIFY rank <= {K}),
-r AS (SELECT b.query, b.doc, b.score AS fused, t.cs, lower(t.bucket) AS leaf, v.vocab, k.constraints AS attrs, lower(concat(c.title, ' ', c.bucket)) AS blob, c.bucket, c.title, c.cnt, c.price, c.stars, c.size,
+FEATURES = f"""{POOL}, best AS MATERIALIZED (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM pool QUALIFY rank <= {K}),
+r AS MATERIALIZED (SELECT b.query, b.doc, b.score AS fused, t.cs, lower(t.bucket) AS leaf, v.vocab, k.constraints AS attrs, lower(concat(c.title, ' ', c.bucket)) AS blob, c.bucket, c.title, c.cnt, c.price, c.stars, c.size,
   CASE b.query % 3 WHEN 0 THEN 'men' WHEN 1 THEN 'women' END AS gender, CASE b.doc % 4 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE '' END AS department FROM best b JOIN turns t USING (query) JOIN v USING (query) JOIN cards k ON k.doc = b.doc JOIN catalog c ON c.doc = b.doc),
 h AS (SELECT *, len(list_filter(cs, lambda x: list_contains(attrs, x) OR contains(blob, x))) AS hits FROM r),
 features AS (SELECT query, doc, round(fused, 6) AS fused, round(hits / greatest(len(cs), 1), 6) AS coverage, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN leaf <> '' AND lower(bucket) = leaf THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS leaf_exact,
@@ -185,14 +197,20 @@ def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best(rows, 1 << 30, ["query"]).select("query", "doc", "score", "rank")
 
 
-VARIANTS = {"base": "fused", "no_popularity": "fused - 0.05D * log_count", "coverage_only": "coverage", "title": "fused + title_overlap", "stars": "fused + 0.01D * stars + 0.000000001D"}
+_SCORES = " UNION ALL ".join(f"SELECT '{name}' AS variant, query, doc, round({' + '.join(f'{w!r}::DOUBLE * {c}' for c, w in parts.items())}, 9) AS score FROM evidence" for name, parts in retrieval.FORMULAS.items())
 
 
-@query(f"""WITH {FEATURES}, scored AS ({' UNION ALL '.join(f"SELECT '{k}' AS variant, query, doc, round({v.replace('0.05D', '0.05::DOUBLE').replace('0.01D', '0.01::DOUBLE').replace('0.000000001D', '0.000000001::DOUBLE')}, 6) AS score FROM features" for k, v in VARIANTS.items())})
-SELECT variant, query, doc, score, row_number() OVER (PARTITION BY variant, query ORDER BY score DESC, doc) AS rank FROM scored QUALIFY rank <= 3""")
+@query(f"""WITH {WHOLE_POOL}, pop AS (SELECT doc, row_number() OVER (ORDER BY cnt DESC, stars DESC, doc) AS pop_rank FROM catalog),
+evidence AS MATERIALIZED (SELECT t.query, c.doc, coalesce(exact, 0) AS exact, coalesce(same, 0) * 2 AS same, coalesce(distance, 0) AS distance, coalesce(matches, 0) AS matches, len(list_intersect(vocab, list_distinct(regexp_extract_all(lower(concat(title, ' ', store, ' ', c.bucket)), '[a-z0-9]+')))) AS overlap,
+  len(list_filter(cs, lambda x: contains(lower(concat(title, ' ', store, ' ', c.bucket)), lower(x)))) AS in_text, ln(1 + cnt) AS log_count, stars, pop_rank FROM turns t JOIN v USING (query) JOIN catalog c ON c.bucket = t.bucket JOIN pop ON pop.doc = c.doc LEFT JOIN m ON m.query = t.query AND m.doc = c.doc),
+scored AS ({_SCORES}) SELECT variant, query, doc, score, row_number() OVER (PARTITION BY variant, query ORDER BY score DESC, doc) AS rank FROM scored QUALIFY rank <= {K}""")
 def rank_formula_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = part_features(spark, sf_dir).select("query", "doc", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.round(F.expr(v), 6).alias("score")) for k, v in VARIANTS.items()])).alias("x")).select("query", "doc", "x.*")
-    return retrieval.best(rows, 3, ["variant", "query"]).select("variant", "query", "doc", "score", "rank")
+    """Ten formulas, each over every turn's whole pool."""
+    turns, products, posted = pool_turns(spark, sf_dir)
+    items = catalog(spark, sf_dir)
+    popular = cat.popularity(items, "doc", "cnt", "stars").select("doc", F.col("rank").alias("pop_rank"))
+    said = items.select("doc", F.lower(F.concat_ws(" ", "title", "store", "bucket")).alias("search_text"), "stars").join(popular, "doc", "left")
+    return retrieval.formula_ranks(turns, products.drop("boost", "price").join(said, "doc"), posted, K).select("variant", "query", "doc", "score", "rank")
 
 
 @query()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the cluster's shared folder (a temporary one where none is set, as in tests)."""
+    """df with its lineage cut by files in the cluster's shared folder (a temporary one in local mode, as in tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        if not (at := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(at)
     return df.checkpoint(eager=True)
 
 
@@ -31,8 +38,12 @@ def strict_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).option("mode", "FAILFAST").json(path)
 
 
-def lenient_catalog(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """JSON lines or one JSON array, plain or gzip; bad records are left out."""
+def lenient_catalog(spark: SparkSession, path: str, array: bool | None = None) -> DataFrame:
+    """JSON lines or one JSON array (told by the first character that is no space, unless `array` says), plain or gzip; bad
+    records are left out."""
+    if array is None:
+        first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1).alias("c")).first()
+        array = first is not None and first["c"] == "["
     rows = spark.read.schema(f"{RAW}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", array).json(path)
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
@@ -54,19 +65,49 @@ def write_results(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def index_path(root: str, version: str, content: DataFrame) -> str:
-    """A folder named by what an index is made from: the version and an order-free digest of the records."""
-    digest = content.agg(F.bit_xor(F.xxhash64(*content.columns)).alias("x"), F.count(F.lit(1)).alias("n")).first()
-    return f"{root}/{version}-{digest['n']}-{(digest['x'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
+    """A folder named by what an index is made from: the version and an order-free digest of the records, in which each
+    record counts as often as it occurs."""
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), *content.columns).cast("decimal(38,0)"))
+    digest = content.agg(wide(1).alias("a"), wide(2).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return f"{root}/{version}-{digest['n']}-{int(digest['a'] or 0) % (1 << 64):016x}{int(digest['b'] or 0) % (1 << 64):016x}"
+
+
+def file_path(root: str, version: str, content: DataFrame) -> str:
+    """Likewise by the files that the records are read from: their names, sizes and times of change. No record is read."""
+    files = content.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return index_path(root, version, files)
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at `path`, made once; the commit marker of Spark's writer tells whether it is whole."""
+    """The table at `path`, made once; the commit marker of Spark's writer tells whether it is whole, and what can't be read
+    is made anew."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        make().write.mode("overwrite").parquet(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        try:
+            return spark.read.parquet(path)  # reads the footers
+        except (AnalysisException, Py4JJavaError, SparkException):
+            pass
+    make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def catalog_views(products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an evaluation needs of the catalog: the ids, and each id's categories."""
+    return products.select("parent_asin").distinct(), products.select("parent_asin", "category_path", "leaf_category")
+
+
+def write_vectors(vectors: DataFrame, root: str, version: str, content: DataFrame) -> str:
+    """(id, vector) under a folder named by the records and the encoder's version."""
+    path = index_path(root, version, content)
+    vectors.select("id", F.col("vector").cast("array<float>").alias("vector")).write.mode("overwrite").parquet(path)
+    return path
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """One JSON file of a table that is a summary (a row for each variant or scenario)."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def product_cards(products: DataFrame) -> DataFrame:
     """What a user interface shows of a product."""
     return products.select("parent_asin", "title", F.round("price", 2).alias("price"), F.round("avg_rating", 1).alias("rating"), F.col("rating_count").try_cast("bigint").alias("rating_count"), "store", "leaf_category")
