@@ -31,6 +31,13 @@ class Config:
     score_weights: tuple[float, float, float] = (0.5, 0.3, 0.2)
     ask_plan: tuple[str, ...] = ("other", "other", "material", "color", "budget", "style", "feature", "use_case", "size")
     ask_attributes: tuple[str, ...] = ("category", "material", "color", "size", "style", "brand", "budget", "feature", "use_case", "other")
+    ngram_max: int = 8
+    least_category: int = 3
+    semantic_fallback_threshold: int = 2
+    semantic_cosine_floor: float = 0.45
+    semantic_k: int = 8
+    force_semantic: bool = False
+    oov_token_ratio: float = 0.45
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
 

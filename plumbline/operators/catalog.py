@@ -43,6 +43,12 @@ def products(records: DataFrame, sparse_below: int = DEFAULT.sparse_below) -> Da
     return r.select("parent_asin", "title", "text_blob", "leaf_category", "category_path", "attr_phrases", "details", "price", "avg_rating", "rating_count", "store", "is_sparse", "department", "features", "description")
 
 
+def searchable_text() -> Column:
+    """All that a product says of itself, field by field."""
+    entries = F.transform(F.map_entries("details"), lambda e: F.concat_ws(" ", e["key"], e["value"]))
+    return F.trim(F.array_join(F.flatten(F.array(F.array("title"), F.col("features"), entries, F.array("description"), F.col("category_path"), F.array("store"))), " "))
+
+
 def _phrases() -> Column:
     """Everything that a product can be asked for by."""
     none = F.array().cast("array<string>")

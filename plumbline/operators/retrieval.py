@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Config
+from plumbline.functions import lexicon
 
 
 def best(hits: DataFrame, k: int, query: list[str], score: str = "score", doc: str = "doc", name: str = "rank") -> DataFrame:
@@ -78,6 +79,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def query_text(category: Column, phrases: Column, message: Column) -> Column:
+    """What is encoded for a turn: category, constraints and message, as far as there are any."""
+    told = F.array_join(F.filter(phrases, lambda p: p != ""), " ")
+    return F.concat_ws(". ", F.nullif(category, F.lit("")), F.nullif(told, F.lit("")), F.nullif(message, F.lit("")))
+
+
+def session_terms(category: Column, phrases: Column, message: Column) -> Column:
+    """Distinct words and aliases of all that a session has said."""
+    said = F.array_compact(F.concat(phrases, F.array(category, message)))
+    return F.array_distinct(F.flatten(F.transform(said, lexicon.expand_terms)))
+
+
+def wanted_gender(department: Column, style: Column) -> Column:
+    """From the slots; a style that names one comes before the department."""
+    return F.coalesce(lexicon.canonical_gender(style), lexicon.canonical_gender(department))
+
+
 def unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))

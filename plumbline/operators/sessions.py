@@ -30,12 +30,13 @@ def advance(s: Column, words: Column, e: Column) -> Column:
     ).cast(STATE)
 
 
-def folded(turns: DataFrame) -> DataFrame:
-    """turns (session, turn, words, event): the state after each turn. A session has at most ten turns by contract, so its
-    turns are one small array; the fold is a JVM aggregate over it."""
-    listed = turns.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", "words", "event"))).alias("ts"))
-    each = listed.select("session", "ts", F.posexplode("ts").alias("i", "t"))
-    return each.select("session", F.col("t.turn").alias("turn"), F.aggregate(F.slice("ts", 1, F.col("i") + 1), empty_state(), lambda s, t: advance(s, t["words"], t["event"])).alias("state"))
+def folded(turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """turns (session, turn, words, event): the state after each turn. Turns beyond max_turns are no part of a session, so
+    its turns are one small array; the fold is one JVM aggregate over it that keeps the states it passes."""
+    listed = turns.where(F.col("turn") <= config.max_turns).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", "words", "event"))).alias("ts"))
+    states = F.aggregate("ts", F.array(empty_state()), lambda a, t: F.concat(a, F.array(advance(F.element_at(a, -1), t["words"], t["event"]))))
+    each = listed.select("session", F.explode(F.arrays_zip(F.col("ts.turn").alias("turn"), F.slice(states, 2, F.greatest(F.size("ts"), F.lit(1))).alias("state"))).alias("x"))
+    return each.select("session", "x.turn", "x.state")
 
 
 def emits(n_constraints: Column, turn: Column, config: Config = DEFAULT) -> Column:

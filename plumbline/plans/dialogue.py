@@ -23,7 +23,11 @@ MESSAGES = """CASE p_partkey % 10 WHEN 0 THEN 'I''m looking for ' || p_name || '
 
 def part_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message for each part, by templates in turn."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 10
+    return templates(table(spark, sf_dir, "part"))
+
+
+def templates(p: DataFrame) -> DataFrame:
+    k = F.col("p_partkey") % 10
     c = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
     name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
     lead = c("I'm looking for ", name)
@@ -85,11 +89,37 @@ def category_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, token, min(turn) AS turn FROM t GROUP BY ALL), n AS (SELECT conv_id, turn, count(*) AS fresh FROM f GROUP BY ALL), u AS (SELECT DISTINCT conv_id, turn FROM t)
 SELECT conv_id, turn, CAST(sum(coalesce(fresh, 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS n FROM u LEFT JOIN n USING (conv_id, turn)""")
-def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
     return sessions.running_distinct(t).withColumnRenamed("session", "conv_id")
 
 
+_EVENTS = f"""t0 AS (SELECT p_partkey // 10 AS session, ((p_partkey % 10) * 7 + p_partkey // 10) % 10 + 1 AS turn, {MESSAGES} AS message, p_name, p_brand, p_type, p_partkey % 10 AS k FROM part),
+t AS (SELECT session, turn, row_number() OVER (PARTITION BY session ORDER BY turn) AS i, list_filter(w, lambda x, j: list_position(w, x) = j) AS words, CASE WHEN k IN (0, 1, 2, 8) THEN 'opening' WHEN k = 3 THEN 'override' ELSE 'x' END AS kind, CASE WHEN k IN (0, 1, 2, 8) THEN p_name END AS category,
+  CASE k WHEN 0 THEN [p_brand] WHEN 2 THEN ['Prefer ' || p_type] WHEN 3 THEN [p_type] WHEN 4 THEN [p_brand, p_type] ELSE [] END AS told, CASE WHEN k = 2 THEN 'intent_override' END AS hint FROM (SELECT *, regexp_extract_all(lower(message), '[a-z0-9]+') AS w FROM t0))"""
+FOLD_SQL = f"""WITH RECURSIVE {_EVENTS}, s AS (
+SELECT session, 0::BIGINT AS i, 0::BIGINT AS turn, NULL::VARCHAR AS bucket, []::VARCHAR[] AS cs, []::VARCHAR[] AS opening, []::VARCHAR[] AS vocab, 0::BIGINT AS asked FROM (SELECT DISTINCT session FROM t)
+UNION ALL SELECT session, i, turn, CASE WHEN opens THEN category ELSE bucket END, list_concat(kept, list_filter(told, lambda x: NOT list_contains(kept, x))), CASE WHEN over THEN []::VARCHAR[] WHEN opens AND hint = 'intent_override' THEN told ELSE opening END,
+  CASE WHEN over THEN words ELSE list_concat(vocab, list_filter(words, lambda x: NOT list_contains(vocab, x))) END, CASE WHEN over THEN 1 ELSE asked + 1 END
+  FROM (SELECT t.session, t.i, t.turn, t.words, t.category, t.told, t.hint, s.bucket, s.opening, s.vocab, s.asked, t.kind = 'override' AS over, t.kind = 'opening' AND t.category IS NOT NULL AND s.bucket IS NULL AS opens,
+    CASE WHEN t.kind = 'override' THEN list_filter(s.cs, lambda x: NOT list_contains(s.opening, x)) ELSE s.cs END AS kept FROM s JOIN t ON t.session = s.session AND t.i = s.i + 1))
+SELECT session, turn, bucket, array_to_string(cs, ' | ') AS constraints, array_to_string(opening, ' | ') AS opening, len(vocab) AS n_vocab, asked{{more}} FROM s WHERE i > 0"""
+
+
+def template_turns(parts: DataFrame) -> DataFrame:
+    """Sessions of ten turns (session, turn, words, event): parts' template messages, in another order in each session."""
+    key, message = F.col("p_partkey"), F.col("message")
+    turn = (key % 10 * 7 + F.floor(key / 10)) % 10 + 1
+    return templates(parts).select(F.floor(key / 10).alias("session"), turn.cast("bigint").alias("turn"), text.word_set(message).alias("words"), utterance.parse_event(message).alias("event"))
+
+
+@query(FOLD_SQL.format(more=""))
+def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after each turn."""
+    rows = sessions.folded(template_turns(table(spark, sf_dir, "part")))
+    return rows.select("session", "turn", F.col("state.bucket").alias("bucket"), F.array_join("state.constraints", " | ").alias("constraints"), F.array_join("state.opening", " | ").alias("opening"), F.size("state.vocab").cast("bigint").alias("n_vocab"), F.col("state.asked").cast("bigint").alias("asked"))
+
+
 @query("""WITH e AS (SELECT user_id, event_type, value, event_id FROM events) SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS set_at, len(list_distinct(list(value))) - 1 AS n_superseded FROM e GROUP BY ALL""")
 def slot_override_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("slot"), "value", F.col("event_id").alias("at"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans.dialogue import FOLD_SQL, template_turns
 from plumbline.plans.registry import query
 from plumbline.sources.tables import materialised, table
 from plumbline.streaming import sessions as streams
@@ -23,12 +24,22 @@ def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 @query("""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM conversations), f AS (SELECT conv_id, token, min(turn) AS turn FROM t GROUP BY ALL), n AS (SELECT conv_id, turn, count(*) AS fresh FROM f GROUP BY ALL), u AS (SELECT DISTINCT conv_id, turn FROM conversations)
 SELECT conv_id AS session, turn, CAST(sum(coalesce(fresh, 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS n FROM u LEFT JOIN n USING (conv_id, turn)""")
-def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_running_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "conversations"))
     words = source.select(F.col("conv_id").alias("session"), F.col("turn").cast("long").alias("turn"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
     return _drained(streams.running_distinct(words), spark)
 
 
+@query(FOLD_SQL.format(more=", false AS late"))
+def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of `session_fold`, from a stream of the same messages."""
+    parts = spark.readStream.schema(table(spark, sf_dir, "part").schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "part"))
+    turns = template_turns(parts)
+    flat = turns.select("session", "turn", "words", F.col("event.kind").alias("kind"), F.col("event.category").alias("category"), F.col("event.constraints").alias("told"), F.col("event.scenario_hint").alias("hint"))
+    rows = _drained(streams.folded(flat), spark)
+    return rows.select("session", "turn", "bucket", F.array_join("constraints", " | ").alias("constraints"), F.array_join("opening", " | ").alias("opening"), "n_vocab", F.col("asked").cast("bigint").alias("asked"), "late")
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder with the table's rows; a table that is one file is copied to the shared folder, as file streams read folders."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")

@@ -2,11 +2,14 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text, utterance
-from plumbline.operators import catalog, evaluation, question, ranking, retrieval, sessions
+from plumbline.operators import catalog, evaluation, extraction, question, ranking, retrieval, sessions
 from plumbline.sources import tables
+from plumbline.streaming import sessions as streams
 
 RECORDS = [
     {"parent_asin": "A", "title": "Navy Cotton Crew Neck T-Shirt", "features": '["100% cotton", "crew neck tee"]', "categories": '["Clothing", "Men", "T-Shirts"]', "details": '{"Color": "Navy", "Department": "mens"}', "price": "$19.99", "average_rating": "4.5", "rating_number": "120", "store": "Acme"},
@@ -109,3 +112,82 @@ def test_slates_and_metrics(spark):
     total = evaluation.metrics(rows).where("scenario is null").first()
     assert (total.hit_rate, total.mrr, total.mttc) == (0.5, 0.25, 6.5)
     assert evaluation.nearest_rank(spark.range(1, 101).select(F.lit("g").alias("g"), "id"), "g", "id", (0.5, 0.95)).first()[2:] == (50, 95)
+
+
+def test_catalog_forms(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n  [{"parent_asin": "A"}, {"parent_asin": "B", "price": 3}]')
+    (tmp_path / "b.json").write_text('{"parent_asin": "A"}\n')
+    (tmp_path / "bad.json").write_text('{"parent_asin": "A"}\nnot json\n')
+    (tmp_path / "s.json").write_text('{"sample_id": "x", "scenario_type": "buying", "ground_truth": {"parent_asin": "A"}, "intent_card": {"hard_constraints": ["red"]}}\n')
+    assert {r.parent_asin: r.price for r in tables.lenient_catalog(spark, str(tmp_path / "a.json")).collect()} == {"A": None, "B": "3"}
+    assert tables.strict_catalog(spark, str(tmp_path / "b.json")).count() == 1
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.strict_catalog(spark, str(tmp_path / "bad.json")).collect()
+    assert tables.samples(spark, str(tmp_path / "s.json")).first().intent_card.hard_constraints == ["red"]
+
+
+def test_index_paths(spark, tmp_path):
+    make = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    path = lambda df: tables.index_path("r", "v", df)
+    assert path(make("a", "a", "b")) != path(make("c", "c", "b")) != path(make("b")) and path(make("a", "b")) == path(make("b", "a"))
+    make("a").write.parquet(str(tmp_path / "t"))
+    before = tables.file_path("r", "v", spark.read.parquet(str(tmp_path / "t")))
+    assert before == tables.file_path("r", "v", spark.read.parquet(str(tmp_path / "t")))
+    make("b").write.mode("append").parquet(str(tmp_path / "t"))
+    assert before != tables.file_path("r", "v", spark.read.parquet(str(tmp_path / "t")))
+    # an index whose files can't be read is made anew
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "_SUCCESS").write_text("")
+    (tmp_path / "i" / "part-0.parquet").write_text("broken")
+    assert tables.cached(spark, str(tmp_path / "i"), lambda: make("z")).first().x == "z"
+    at = tables.write_vectors(spark.createDataFrame([(1, [0.5, 1.0])], "id long, vector array<double>"), str(tmp_path / "vectors"), "v", make("a"))
+    assert spark.read.parquet(at).first().vector == [0.5, 1.0]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(70, 5))
+    x[7] = x[3]
+    x[9] = 0
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "doc long, vector array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    got = retrieval.nearest(docs.where("doc < 20").withColumnRenamed("doc", "query"), docs, 4).collect()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s = np.round(u @ u.T, 6)
+    want = {(q, d): k + 1 for q in range(20) for k, d in enumerate(sorted(range(70), key=lambda d: (-s[q, d], d))[:4])}
+    assert {(a.query, a.doc): a.rank for a in got} == want
+
+
+def test_stream_fold(spark, tmp_path):
+    """Two batches: the same states as in batch, and a turn that comes too late marked and without effect."""
+    said = [(1, 1, "I'm looking for Shoes. Prefer black."), (1, 2, "For that, what matters is: cotton; wide."), (1, 3, "Actually, ignore my earlier preference. What I need is: leather."), (2, 1, "I'm looking for Hats. A key requirement is: red.")]
+    rows = spark.createDataFrame(said, "session long, turn long, m string").select("session", "turn", text.word_set(F.col("m")).alias("words"), utterance.parse_event(F.col("m")).alias("event"))
+    flat = rows.select("session", "turn", "words", F.col("event.kind").alias("kind"), F.col("event.category").alias("category"), F.col("event.constraints").alias("told"), F.col("event.scenario_hint").alias("hint"))
+    at = str(tmp_path / "in")
+    flat.where("turn < 3").coalesce(1).write.parquet(at)
+    out = []
+    for more in (None, flat.where("turn = 3").unionByName(flat.where("session = 1 and turn = 2"))):
+        if more is not None:
+            more.coalesce(1).write.mode("append").parquet(at)
+        stream = streams.folded(spark.readStream.schema(flat.schema).parquet(at))
+        done = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        done.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = {(r.session, r.turn): r.state for r in sessions.folded(rows).collect()}
+    assert sorted((r.session, r.turn, r.late) for r in out) == [(1, 1, False), (1, 2, False), (1, 2, True), (1, 3, False), (2, 1, False)]
+    for r in out:
+        if not r.late:
+            s = want[r.session, r.turn]
+            assert (r.bucket, r.constraints, r.opening, r.n_vocab, r.asked) == (s.bucket, s.constraints, s.opening, len(s.vocab), s.asked)
+
+
+def test_extraction(spark):
+    said = spark.createDataFrame([(1, "Running shoes for her"), (2, "shoe"), (3, ""), (4, "trainers"), (5, "a b c d e f g h i j")], "query long, m string").select("query", extraction.utterance(F.col("m")).alias("text"))
+    phrases = lambda *xs: spark.createDataFrame([(x,) for x in xs], "phrase string")
+    vocabulary, categories = phrases("running shoes", "sneakers", "women", "shoes", "b c d e f g h i", "a b c d e f g h i"), phrases("shoes", "running shoes", "women", "fashion sneakers")
+    got = {(r.query, r.source, r.phrase, r.confidence) for r in extraction.extracted(said, vocabulary, categories).collect()}
+    assert {(p, s, c) for q, s, p, c in got if q == 1} == {("running shoes", "exact", 1.0), ("shoes", "exact", 1.0), ("sneakers", "exact", 1.0), ("women", "exact", 1.0), ("running shoes", "category", 1.0)}
+    assert {(s, p) for q, s, p, _ in got if q == 2} == {("exact", "shoes"), ("category", "shoes")} and not any(q == 3 for q, *_ in got)
+    assert {(s, p, c) for q, s, p, c in got if q == 4} == {("exact", "sneakers", 1.0), ("category", "fashion sneakers", 0.9)} and {p for q, _, p, _ in got if q == 5} == {"b c d e f g h i"}
+    shares = {r["query"]: (r["n"], r["unknown"], r["ratio"]) for r in extraction.unknown_share(said, vocabulary).collect()}
+    assert shares[2] == (1, 0, 0.0) and shares[3] == (0, 0, 0.0) and shares[4] == (1, 1, 1.0)
