@@ -7,7 +7,7 @@ by concentration steps: distances to the current estimate, the half with the sma
 A step is one aggregation: moments are summed for each group and fine bin of the distance, a running count over the bins
 finds those of the nearest share, and their sums give the next estimate. So nothing grows with a group but its count, and
 a source that holds most rows is aggregated before any exchange. Two starts run side by side (all rows; coordinatewise
-medians); that of the smaller determinant stays. As usual it is then reweighted: the moments of the rows within the central
+medians), each until nothing changes or STEPS are done; that of the smaller determinant stays. As usual it is then reweighted: the moments of the rows within the central
 quantile of the chi-square distribution around it, which junk further away cannot enter however much there is, give the
 final estimate. A document is rejected if its squared Mahalanobis distance is beyond a far quantile of that distribution.
 
@@ -32,8 +32,13 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Least standard deviations of the transformed statistics: log word length; square roots of shares of symbols, repeated
 #: lines, repeated words.
 NOISE = (0.05, 0.05, 0.1, 0.1)
-#: Steps, the central quantile of the reweighting, and the quantile beyond which a document is rejected.
-STEPS, CENTRAL, QUANTILE = 4, 0.75, 0.9999
+#: Steps at most, the central quantile of the reweighting, and the quantile beyond which a document is rejected.
+STEPS, CENTRAL, QUANTILE = 8, 0.75, 0.9999
+#: A step that changes no group's log-determinant by as much is the last one.
+STABLE = 1e-3
+#: Statistics are multiples of 1 / GRID: so the sums of up to three thousand million rows are exact, whatever their order, and
+#: a median's counts of values are bounded.
+GRID = 1024
 MIN_GROUP = 8
 #: The language or source of estimates that are pooled over all of them; no known one or null is written so.
 ALL = "*"
@@ -68,7 +73,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 def vectors(stats: DataFrame) -> DataFrame:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     x = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
-    return stats.withColumns(dict(zip(X, x, strict=True)))
+    return stats.withColumns({k: F.round(v * GRID) / GRID for k, v in zip(X, x, strict=True)})
 
 
 def _even_chi2(df: int, x: float) -> float:
@@ -153,7 +158,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     group = ["g_lang", "g_source"]
     plain = checkpoint(_moments(rows, group).where(F.col("n") >= MIN_GROUP))
     sizes = plain.select(*group, F.col("n").alias("size"))
-    medians = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"s_{x}") for x in X]).where(F.col("n") >= MIN_GROUP)
+    medians = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(x, 0.5).alias(f"s_{x}") for x in X]).where(F.col("n") >= MIN_GROUP)
     # a diagonal covariance of the least variances around the medians
     medians = medians.select(*group, *[(F.col(f"s_{x}") * F.col("n")).alias(f"s_{x}") for x in X], *[(F.col(f"s_{X[i]}") * F.col(f"s_{X[j]}") * F.col("n")).alias(f"s_{i}{j}") for i, j in PAIRS], "n")
     starts = plain.withColumn("start", F.lit(0)).unionByName(medians.withColumn("start", F.lit(1)))
@@ -166,7 +171,11 @@ def estimates(rows: DataFrame) -> DataFrame:
         half = F.floor((F.col("size") + P + 1) / 2)
         nearest = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, group).where(F.col("below") < half)
         sums = nearest.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
-        now = checkpoint(_estimate(sums, keys, HALF_CONSISTENT))
+        before, now = now, checkpoint(_estimate(sums, keys, HALF_CONSISTENT))
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+        change = now.alias("a").join(before.alias("b"), same).agg(F.max(F.abs(F.col("a.logdet") - F.col("b.logdet")))).first()[0]
+        if (change or 0.0) < STABLE:
+            break
     best = Window.partitionBy(*group).orderBy("logdet", "start")
     now = checkpoint(now.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "start", "logdet"))
     near = _with_estimates(rows.select("doc_id", *group, *X), now).where(_distance() <= NEAR)
