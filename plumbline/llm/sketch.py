@@ -3,11 +3,12 @@
 Every five-word shingle is hashed to 64 bits; the sketch keeps each distinct hash below a fixed fraction of the hash
 space. A sketch's size follows the text's, sketches of parts merge into the sketch of the whole, and the share of one
 sketch's hashes found in another estimates containment even between very unequal documents. A text whose shingles all
-hash above the threshold keeps its smallest hash alone, so that short texts stay comparable.
+hash above the threshold keeps its smallest hash alone, which names the text but is in no larger sketch; the likeness of such
+a short text is taken from all hashes of both texts instead.
 
 Defined cases: null or empty text, or one without words: the empty sketch, whose likeness is 1 to another empty sketch
 and 0 to any other. Fewer than five words: one shingle, the whole sequence. Equal doc_ids are ordered by text; a null
-doc_id comes last. Repeated rows each get their row. Columns other than doc_id and text are ignored.
+doc_id comes last. Repeated rows each get their row. Very long texts are sketched one by one. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -93,6 +94,11 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return shared(a, b) / min(len(a), len(b))
 
 
+def lone(sketch: np.ndarray, fraction: float = FRACTION) -> bool:
+    """Whether a sketch holds no hash below the threshold, but the smallest there is."""
+    return len(sketch) == 1 and int(sketch[0]) >= int(fraction * 2**64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
@@ -100,6 +106,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return s / (len(a) + len(b) - s)
 
 
+def likenesses(texts: list[tuple[str, str]], pairs: list[tuple[np.ndarray, np.ndarray]], fraction: float = FRACTION) -> list[tuple[float, float]]:
+    """Containment and Jaccard likeness of pairs of texts by their sketches, or by all hashes where one is a lone one."""
+    short = [i for i, (a, b) in enumerate(pairs) if lone(a, fraction) or lone(b, fraction)]
+    whole = sketches(*text_buffers(pa.array([t for i in short for t in texts[i]], pa.large_string())), 1.0)
+    pairs = pairs.copy()
+    for k, i in enumerate(short):
+        pairs[i] = whole[2 * k], whole[2 * k + 1]
+    return [(containment(a, b), jaccard(a, b)) for a, b in pairs]
+
+
 def as_text(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 
@@ -167,12 +183,14 @@ def edited_likeness(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
                 edited = [own[i][: len(own[i]) - len(own[i]) // 3] + own[i + 1][: len(own[i]) // 3] for i in pair]
                 mine = sketches(*text_buffers(pa.array(own, pa.large_string())), fraction)
                 theirs = sketches(*text_buffers(pa.array(edited, pa.large_string())), fraction)
+                likeness = likenesses([(own[i], e) for i, e in zip(pair, edited, strict=True)], [(mine[i], t) for i, t in zip(pair, theirs, strict=True)], fraction)
+                nexts = likenesses([(own[i], own[i + 1]) for i in pair], [(mine[i], mine[i + 1]) for i in pair], fraction)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([got[i][2] for i in pair], pa.int64()), "n_chars": pa.array([len(own[i]) for i in pair], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
                     "fingerprint": pa.array([as_text(mine[i]) for i in pair], pa.string()), "edited_fingerprint": pa.array([as_text(t) for t in theirs], pa.string()),
-                    "near_edited": pa.array([containment(mine[i], t) for i, t in zip(pair, theirs, strict=True)], pa.float64()), "near_next": pa.array([containment(mine[i], mine[i + 1]) for i in pair], pa.float64()),
-                    "jaccard_edited": pa.array([jaccard(mine[i], t) for i, t in zip(pair, theirs, strict=True)], pa.float64()), "jaccard_next": pa.array([jaccard(mine[i], mine[i + 1]) for i in pair], pa.float64()),
+                    "near_edited": pa.array([x for x, _ in likeness], pa.float64()), "near_next": pa.array([x for x, _ in nexts], pa.float64()),
+                    "jaccard_edited": pa.array([x for _, x in likeness], pa.float64()), "jaccard_next": pa.array([x for _, x in nexts], pa.float64()),
                 })
 
     return rows.mapInArrow(run, OUT)
