@@ -2,7 +2,8 @@
 
 For every participant of a conversation the whole dialogue is rendered once more: that speaker's messages as the
 assistant's, all others' as those of named users, system messages as such. Each message becomes one row per perspective
-with its rendered segment and its place in the rendered dialogue, so a dialogue of any length never meets in one task; the
+with its rendered segment and its place in the rendered dialogue; rows meet by blocks of turns, so a long dialogue is many
+tasks' work (only messages of one turn number, or of none, stay together, as their order is among themselves); the
 segments of a perspective in order of `seq` are the rendered dialogue, and the rows with `trainable` mark the characters
 [body_start, body_end) that are learnt from.
 
@@ -27,10 +28,13 @@ def perspectives(messages: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit(SYSTEM)).alias("speaks"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("body"),
     )
     speakers = m.where(F.col("speaks") != SYSTEM).select("conv_id", F.col("speaks").alias("perspective")).distinct()
-    m = m.drop("speaks").alias("m").join(speakers.alias("s"), F.col("m.conv_id").eqNullSafe(F.col("s.conv_id"))).select("m.*", "perspective")
+    m = m.drop("speaks").withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
+    blocks = m.select("conv_id", "block").distinct().alias("b")
+    speakers = speakers.alias("s").join(blocks, F.col("s.conv_id").eqNullSafe(F.col("b.conv_id"))).select("b.conv_id", "block", "perspective")
+    m = m.alias("m").join(speakers.alias("s"), F.col("m.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("m.block") == F.col("s.block"))).select("m.*", "perspective")
     mine = (F.col("role") == F.col("perspective")) & (F.col("role") != SYSTEM)
     head = F.when(mine, F.lit(f"{OPEN}assistant\n")).when(F.col("role") == SYSTEM, F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), "role", F.lit("\n")))
-    m = m.withColumns({"trainable": mine, "head": head, "block": F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK)})
+    m = m.withColumns({"trainable": mine, "head": head})
     m = m.withColumns({"segment": F.concat("head", "body", F.lit(CLOSE))})
     key = ["conv_id", "perspective"]
     w = Window.partitionBy(*key, "block").orderBy(F.asc_nulls_first("turn"), "role", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)

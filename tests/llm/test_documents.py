@@ -146,6 +146,42 @@ def test_sketch(docs, rows):
     assert np.mean([r.near_edited for r in long]) > 0.4 > np.mean([r.near_next for r in long])
 
 
+def test_sketch_against_brute_force(docs, rows):
+    """Fingerprints and likenesses from sets of every shingle's own hash."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    texts = [r[1] or "" for r in order]
+    limit = int(sketch.FRACTION * 2**64)
+
+    def shingles(t):
+        w = WORD.findall(t)
+        return {int(sketch.sketches(*buffers([" ".join(w[k : k + 5])]), fraction=1.0)[0][0]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def near(a, b):
+        low = [{h for h in x if h < limit} for x in (a, b)]
+        if all(low) or not (a and b):
+            a, b = (x or y for x, y in zip(low, (a, b), strict=True))
+        return float(not a and not b) if not (a and b) else len(a & b) / min(len(a), len(b))
+
+    known = {}
+    all_ = lambda t: known.setdefault(t, shingles(t))
+    want = collections.Counter()
+    for k, t in enumerate(texts):
+        nxt, m = texts[(k + 1) % len(texts)], len(t) // 3
+        edited = t[: len(t) - m] + nxt[:m]
+        prints = ["".join(f"{h:016x}" for h in sorted({h for h in all_(x) if h < limit} or {min(all_(x))})) if all_(x) else "" for x in (t, edited)]
+        want[order[k][0], *prints, round(near(all_(t), all_(edited)), 9), round(near(all_(t), all_(nxt)), 9)] += 1
+    got = sketch.edited_likeness(docs).collect()
+    assert want == collections.Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
+
+
+def test_short_text_inside_long_one():
+    long, short = prose(4, 400), " ".join(prose(4, 400).split()[20:29])
+    for first in range(12):  # some of these have no hash below the threshold
+        short = " ".join(long.split()[20 + first : 29 + first])
+        a, b = (sketch.sketches(*buffers([t]))[0] for t in (short, long))
+        assert sketch.likenesses([(short, long)], [(a, b)])[0][0] == 1.0
+
+
 def test_sketch_merges():
     a, b = prose(1, 400), prose(2, 300)
     make = lambda t: sketch.sketches(*buffers([t]))[0]
@@ -188,6 +224,7 @@ def test_mcd_against_numpy(spark):
     r = np.random.default_rng(5)
     x = r.normal([1.6, 0.05, 0.0, 0.1], [0.1, 0.05, 0.01, 0.1], (400, 4))
     x[:40] += 1.5
+    x = np.round(x * mcd_rules.GRID) / mcd_rules.GRID
     df = spark.createDataFrame([(i, "g", "s", *map(float, v)) for i, v in enumerate(x)], "doc_id long, g_lang string, g_source string, x0 double, x1 double, x2 double, x3 double")
     e = mcd_rules.estimates(df).first()
     mean = np.array([e[f"m{i}"] for i in range(4)])
@@ -203,6 +240,49 @@ def test_mcd_against_numpy(spark):
     assert np.abs(mean - m).max() < 0.03 and np.abs(half.T @ half @ cov - np.eye(4)).max() < 0.35
 
 
+def brute_mcd(x):
+    """Squared distances by the estimate that the operator describes, over plain arrays with exact halves."""
+    noise, p = np.diag(np.square(mcd_rules.NOISE)), 4
+    h, best = (len(x) + p + 1) // 2, None
+    for start in (0, 1):
+        m, cov = (x.mean(0), np.cov(x.T, bias=True) + noise) if start == 0 else (np.median(x, axis=0), noise)
+        for _ in range(30):
+            d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(cov), x - m)
+            some = x[np.argsort(d, kind="stable")[:h]]
+            m, cov = some.mean(0), mcd_rules.HALF_CONSISTENT * np.cov(some.T, bias=True) + noise
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0] - 1e-9:
+            best = det, m, cov
+    d = np.einsum("ni,ij,nj->n", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    some = x[d <= mcd_rules.NEAR]
+    m, cov = some.mean(0), mcd_rules.CONSISTENT * np.cov(some.T, bias=True) + noise
+    return np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(cov), x - m)
+
+
+def test_mcd_verdicts_against_brute_force(spark):
+    """Verdicts of groups with junk of several kinds; the operator's halves end at a bin of the distance, so rows near the
+    cut-off may differ, others not; and the result does not depend on how rows are dealt out."""
+    r = np.random.default_rng(9)
+    groups = {}
+    for k, share in enumerate((0.0, 0.1, 0.3)):
+        x = r.normal([1.6, 0.05, 0.02, 0.1], [0.15, 0.04, 0.02, 0.08], (240, 4))
+        n = int(share * 240)
+        x[:n] += r.normal([0.8, 0.4, 0.5, 0.5], 0.15, (n, 4))
+        groups[f"g{k}"] = np.round(x * mcd_rules.GRID) / mcd_rules.GRID
+    data = [(i, g, "s", *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "doc_id long, g_lang string, g_source string, x0 double, x1 double, x2 double, x3 double").repartition(7)
+    found = mcd_rules._with_estimates(df, mcd_rules.estimates(df)).select("g_lang", "doc_id", mcd_rules._distance().alias("d")).collect()
+    got = {(q.g_lang, q.doc_id): q.d for q in found}
+    for g, x in groups.items():
+        want = brute_mcd(x)
+        mine = np.array([got[g, i] for i in range(len(x))])
+        far = np.abs(np.log(want / mcd_rules.CUTOFF)) > 0.25
+        assert far.mean() > 0.9 and ((mine > mcd_rules.CUTOFF) == (want > mcd_rules.CUTOFF))[far].all()
+    other = df.repartition(3, "x0")
+    again = mcd_rules._with_estimates(other, mcd_rules.estimates(other)).select("g_lang", "doc_id", mcd_rules._distance().alias("d")).collect()
+    assert got == {(q.g_lang, q.doc_id): q.d for q in again}
+
+
 def distinct_words(tag, n):
     return " ".join(f"{tag}{chr(97 + k // 676 % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(n))
 
