@@ -3,6 +3,11 @@
 Quality rules drop documents, SimHash near-deduplication keeps one of each group, repeated byte strings are cut out of the
 texts, and what is left is packed into sequences. Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases, as the operators' modules state them: null and empty texts go with the first stage, as do all of fewer than
+50 words; of rows equal in id and text one stays; a text that is cut away as a whole stays as an empty one and is packed as
+its end; very long texts are judged, compared and cut as any other; an empty table gives an empty result at each stage. Columns
+beyond those of documents are carried through the first three stages.
 """
 
 from __future__ import annotations
