@@ -114,6 +114,24 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield at, held
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and each row's number among them. Keys small enough are sorted together with
+    their places, in one array."""
+    n = len(key)
+    bits = max(1, n).bit_length()
+    if n and key.dtype == np.int64 and int(key.max()) < 1 << (63 - bits):
+        both = np.sort(key << bits | np.arange(n))
+        k, at = both >> bits, both & ((1 << bits) - 1)
+    else:
+        at = np.argsort(key)
+        k = key[at]
+    new = np.ones(n, bool)
+    new[1:] = k[1:] != k[:-1]
+    number = np.empty(n, np.int64)
+    number[at] = np.cumsum(new) - 1
+    return k[new], at[new], number
+
+
 # ---- blocks ----------------------------------------------------------------------------------------------------
 
 
@@ -129,12 +147,13 @@ def _encode(block_tokens: int):
 
         def block() -> pa.RecordBatch:
             nonlocal n_blocks
-            words, place, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            words, _, place = distinct(np.concatenate(tokens))
+            count = np.bincount(place, minlength=len(words))
             order = np.argsort(-count, kind="stable")  # frequent words get small places
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             flat = [x for some in ids for x in some]
-            data = pack(words=words[order], tokens=rank[place.ravel()], size=np.concatenate(sizes).astype(np.uint32), doc_id=np.array([0 if x is None else x for x in flat], np.int64), null=np.array([x is None for x in flat], np.uint8), held=np.concatenate(held).astype(np.uint8))
+            data = pack(words=words[order], tokens=rank[place], size=np.concatenate(sizes).astype(np.uint32), doc_id=np.array([0 if x is None else x for x in flat], np.int64), null=np.array([x is None for x in flat], np.uint8), held=np.concatenate(held).astype(np.uint8))
             number = task << 32 | n_blocks
             n_blocks += 1
             n = sum(map(len, tokens))
@@ -198,14 +217,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block the shard's totals."""
     for shard, rows in _by_shard(batches):
         got = [unpack(payload) for _, payload in rows]
-        words, place = np.unique(np.concatenate([x["words"] for x in got]), return_inverse=True)
-        count = np.bincount(place.ravel(), np.concatenate([x["count"] for x in got]), minlength=len(words)).astype(np.int64)
+        words, _, place = distinct(np.concatenate([x["words"] for x in got]))
+        count = np.bincount(place, np.concatenate([x["count"] for x in got]), minlength=len(words)).astype(np.int64)
         known = int((count > 0).sum())
         number = np.full(len(words), known, np.int64)  # unknown ones: one beyond the last
         number[np.argsort(-count, kind="stable")[:known]] = np.arange(known)
         out, at = [], 0
         for (block, _), x in zip(rows, got, strict=True):
-            p = place.ravel()[at : at + len(x["words"])]
+            p = place[at : at + len(x["words"])]
             at += len(p)
             out.append((shard, block, pack(count=count[p], number=number[p])))
         yield _rows(out)
@@ -235,9 +254,9 @@ class View:
         """pair_of: for each token, the number of the distinct known pair that it and the next token make; -1: none."""
         t, known = self.t, self.t < self.known
         ok = np.flatnonzero((self.doc[:-1] == self.doc[1:]) & known[:-1] & known[1:])
-        self.pair, place = np.unique(t[ok].astype(np.int64) * self.words + t[ok + 1], return_inverse=True)
+        self.pair, _, place = distinct(t[ok].astype(np.int64) * self.words + t[ok + 1])
         self.pair_of = np.full(max(0, len(t) - 1), -1, np.int32)
-        self.pair_of[ok] = place.ravel()
+        self.pair_of[ok] = place
 
     def triples(self, codes: np.ndarray) -> None:
         """Likewise for triples whose two pairs are both in the training data (no other can be)."""
@@ -247,9 +266,9 @@ class View:
         some = self.pair_of >= 0
         some[some] = codes[self.pair_of[some]] > 0
         ok = np.flatnonzero(some[:-1] & some[1:])
-        self.triple, place = np.unique(self.pair_of[ok].astype(np.int64) * self.words + self.t[ok + 2], return_inverse=True)
+        self.triple, _, place = distinct(self.pair_of[ok].astype(np.int64) * self.words + self.t[ok + 2])
         self.triple_of = np.full(max(0, len(self.t) - 2), -1, np.int32)
-        self.triple_of[ok] = place.ravel()
+        self.triple_of[ok] = place
 
     mu = MU
 
@@ -460,7 +479,7 @@ def _answer(order: int, top: int, mu: float):
             context = columns[0]
             if order == 3:
                 context = context * top + columns[1]
-            names, context = np.unique(context, return_inverse=True)
+            names, _, context = distinct(context)
             trained = np.concatenate([x["trained"] for x in asked])
             total = np.bincount(context, trained, minlength=len(names))
             at = 0
@@ -468,7 +487,7 @@ def _answer(order: int, top: int, mu: float):
                 total[context[at + x["wide"].astype(np.int64)]] = x["total"]
                 at += n
             # columns, context and so on of the distinct n-grams, in order
-            _, first, place = np.unique(context.ravel() * top + columns[-1], return_index=True, return_inverse=True)
+            _, first, place = distinct(context * top + columns[-1])
             columns, total = [c[first] for c in columns], total[context[first]]
             count = np.bincount(place, trained, minlength=len(first))
             del context, trained, first, names
