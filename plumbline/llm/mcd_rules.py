@@ -188,17 +188,19 @@ def pooled(rows: DataFrame) -> DataFrame:
     sizes = checkpoint(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
     langs = sizes.groupBy("g_lang").agg(F.sum("n").alias("n_lang"), F.sum(F.when(F.col("n") < MIN_GROUP, 1).otherwise(0)).alias("small")).where("small > 0")
     langs = checkpoint(langs.drop("small"))
-    found = estimates(rows)
     if langs.isEmpty():
-        return found
+        return estimates(rows)
     plain = rows.select("doc_id", *group, *X)
     wide = _with_estimates(plain, langs.where(F.col("n_lang") >= MIN_GROUP), keys=("g_lang",)).drop("n_lang").withColumn("g_source", F.lit(ALL))
     if not langs.where(F.col("n_lang") < MIN_GROUP).isEmpty():
         wide = wide.unionByName(plain.withColumns({"g_lang": F.lit(ALL), "g_source": F.lit(ALL)}))
-    wide = estimates(wide).withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
+    # groups and pools take their steps together
+    found = estimates(checkpoint(plain.unionByName(wide)))
+    of_pools = found.where(F.col("g_source") == ALL).withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
     small = sizes.where(F.col("n") < MIN_GROUP).join(langs, "g_lang")
     small = small.select(*group, F.when(F.col("n_lang") >= MIN_GROUP, F.col("g_lang")).otherwise(ALL).alias("p_lang"), F.lit(ALL).alias("p_source"))
-    return checkpoint(found.unionByName(small.join(wide, ["p_lang", "p_source"]).drop("p_lang", "p_source")))
+    own = found.where(F.col("g_source") != ALL)
+    return checkpoint(own.unionByName(small.join(of_pools, ["p_lang", "p_source"]).drop("p_lang", "p_source")))
 
 
 def _with_groups(docs: DataFrame) -> DataFrame:
