@@ -107,43 +107,30 @@ SUMS = ["n", *[f"s_{x}" for x in X], *[f"s_{i}{j}" for i, j in PAIRS]]
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_{i}{j}") for i, j in PAIRS])
+    sums = [f"sum({x}) AS s_{x}" for x in X] + [f"sum({X[i]} * {X[j]}) AS s_{i}{j}" for i, j in PAIRS]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums))
 
 
 def _estimate(sums: DataFrame, keep: list[str], factor: float) -> DataFrame:
-    """Location m*, inverse Cholesky factor k* and log-determinant from sums."""
-    n = F.col("n")
-    rows = sums.select(*keep, *[(F.col(f"s_{x}") / n).alias(f"m{i}") for i, x in enumerate(X)], *[F.col(f"s_{i}{j}").alias(f"s_{i}{j}") for i, j in PAIRS], "n")
-    rows = rows.select(*keep, *[f"m{i}" for i in range(P)], *[(factor * F.greatest(F.col(f"s_{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0 if i == j else float("-inf"))) + (NOISE[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
-    for i in range(P):
-        for j in range(i + 1):
-            inner = F.col(f"c{i}{j}")
-            for k in range(j):
-                inner = inner - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(inner, F.lit(1e-12))) if i == j else inner / F.col(f"l{j}{j}"))
-    for i in range(P):
-        for j in range(i + 1):
-            if i == j:
-                rows = rows.withColumn(f"k{i}{i}", 1 / F.col(f"l{i}{i}"))
-            else:
-                acc = F.lit(0.0)
-                for k in range(j, i):
-                    acc = acc + F.col(f"l{i}{k}") * F.col(f"k{k}{j}")
-                rows = rows.withColumn(f"k{i}{j}", -acc / F.col(f"l{i}{i}"))
-    logdet = F.lit(0.0)
-    for i in range(P):
-        logdet = logdet + F.log(F.col(f"l{i}{i}"))
-    return rows.select(*keep, *[f"m{i}" for i in range(P)], *[f"k{i}{j}" for i, j in PAIRS], logdet.alias("logdet"))
+    """Location m*, inverse Cholesky factor k* and log-determinant from sums. A column of the factor is one projection, and
+    so is a diagonal of its inverse: the driver analyses each of them at every step."""
+    rows = sums.selectExpr(*keep, *[f"s_{x} / n AS m{i}" for i, x in enumerate(X)], *[f"s_{i}{j}" for i, j in PAIRS], "n")
+    cov = lambda i, j: f"s_{i}{j} / n - m{i} * m{j}"
+    rows = rows.selectExpr(*keep, *[f"m{i}" for i in range(P)], *[f"{factor!r}D * greatest({cov(i, j)}, 0D) + {NOISE[i] ** 2!r}D AS c{i}{j}" if i == j else f"{factor!r}D * ({cov(i, j)}) AS c{i}{j}" for i, j in PAIRS])
+    for j in range(P):
+        inner = {i: " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]]) for i in range(j, P)}
+        rows = rows.withColumn(f"l{j}{j}", F.expr(f"sqrt(greatest({inner[j]}, 1e-12D))"))
+        rows = rows.withColumns({f"l{i}{j}": F.expr(f"({inner[i]}) / l{j}{j}") for i in range(j + 1, P)})
+    rows = rows.withColumns({f"k{i}{i}": F.expr(f"1D / l{i}{i}") for i in range(P)})
+    for d in range(1, P):
+        below = {(i, i - d): " + ".join(f"l{i}{k} * k{k}{i - d}" for k in range(i - d, i)) for i in range(d, P)}
+        rows = rows.withColumns({f"k{i}{j}": F.expr(f"-({x}) / l{i}{i}") for (i, j), x in below.items()})
+    return rows.selectExpr(*keep, *[f"m{i}" for i in range(P)], *[f"k{i}{j}" for i, j in PAIRS], " + ".join(f"ln(l{i}{i})" for i in range(P)) + " AS logdet")
 
 
 def _distance() -> Column:
-    total = F.lit(0.0)
-    for i in range(P):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.col(f"k{i}{j}") * (F.col(X[j]) - F.col(f"m{j}"))
-        total = total + y * y
-    return total
+    parts = [" + ".join(f"k{i}{j} * ({X[j]} - m{j})" for j in range(i + 1)) for i in range(P)]
+    return F.expr(" + ".join(f"({y}) * ({y})" for y in parts))
 
 
 def _with_estimates(rows: DataFrame, found: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("g_lang", "g_source")) -> DataFrame:
@@ -165,16 +152,15 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = checkpoint(_estimate(starts, [*group, "start"], 1.0))
     keys = [*group, "start"]
     for _ in range(STEPS):
-        bins = _with_estimates(rows.select("doc_id", *group, *X), now).withColumn("bin", F.floor(BINS * F.log2(_distance() + 1e-9)))
-        bins = _moments(bins, [*keys, "bin"])
+        bins = _with_estimates(rows.select("doc_id", *group, *X), now.withColumnRenamed("logdet", "was"))
+        bins = _moments(bins.withColumn("bin", F.floor(BINS * F.log2(_distance() + 1e-9))), [*keys, "was", "bin"])
         upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         half = F.floor((F.col("size") + P + 1) / 2)
         nearest = bins.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sizes, group).where(F.col("below") < half)
-        sums = nearest.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
-        before, now = now, checkpoint(_estimate(sums, keys, HALF_CONSISTENT))
-        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-        change = now.alias("a").join(before.alias("b"), same).agg(F.max(F.abs(F.col("a.logdet") - F.col("b.logdet")))).first()[0]
-        if (change or 0.0) < STABLE:
+        sums = nearest.groupBy(*keys, "was").agg(*[F.expr(f"sum({c}) AS {c}") for c in SUMS])
+        step = checkpoint(_estimate(sums, [*keys, "was"], HALF_CONSISTENT))
+        now = step.drop("was")
+        if (step.agg(F.expr("max(abs(logdet - was))")).first()[0] or 0.0) < STABLE:
             break
     best = Window.partitionBy(*group).orderBy("logdet", "start")
     now = checkpoint(now.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "start", "logdet"))
