@@ -18,11 +18,11 @@ def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.edited_likeness(table(spark, sf_dir, "documents"))
+    return sketch.edited_likeness(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mcd_rules.judged(table(spark, sf_dir, "documents"))
+    return mcd_rules.judged(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op7_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path(WORD_BPE))
+    return packing.packed(spread(table(spark, sf_dir, "documents")), tokenizer=public_tokenizers.path(WORD_BPE))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
