@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_CHARS, checkpoint, words
+from plumbline.llm.common import SPACE_CHARS, checkpoint, filter_pages, marked, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Least standard deviations of the transformed statistics: log word length; square roots of shares of symbols, repeated
@@ -208,5 +208,9 @@ def kept(docs: DataFrame) -> DataFrame:
     the verdict depends on, so repeated doc_ids or null ones do no harm: equal texts of one group have one verdict."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     known = docs.select(key.alias("doc_id"), "lang", "source", "text")
-    bad = judged(known).where(~F.col("kept")).select(F.col("doc_id").alias("__plumbline_rejected")).distinct()
-    return docs.join(bad, key == F.col("__plumbline_rejected"), "left_anti")
+    bad = checkpoint(judged(known).where(~F.col("kept")).select(F.col("doc_id").alias("__plumbline_rejected")).distinct())
+    spot = marked(docs, key, filter_pages(bad, F.col("__plumbline_rejected")), "__plumbline_near")
+    # only texts that may be rejected are exchanged
+    left = spot.where("not __plumbline_near")
+    near = spot.where("__plumbline_near").join(bad, key == F.col("__plumbline_rejected"), "left_anti")
+    return left.union(near).drop("__plumbline_near")
