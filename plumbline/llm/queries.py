@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_codec, chat, mcd_rules, ngram_trie, packing, simhash_gray, sketch, suffix_dedup, token_automaton, url_trees
+from plumbline.llm import bpe_codec, chat, mcd_rules, negatives, ngram_trie, packing, sharding, simhash_gray, sketch, spelling, suffix_dedup, token_automaton, url_trees
 from plumbline.llm.common import spread, table
 
 MULTI_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -53,5 +54,17 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judged(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_trie, op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op7_token_automaton, op8_packing, op9_suffix_dedup, op10_url_trees)}
-ORACLE: dict[str, str] = {"op6_perspectives": chat.ORACLE}
+def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spread(table(spark, sf_dir, "documents")))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(negatives.digest_rows(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_trie, op2_sketch, op3_mcd_rules, op4_simhash_gray, op5_bpe_codec, op6_perspectives, op7_token_automaton, op8_packing, op9_suffix_dedup, op10_url_trees, op11_rendezvous, op12_spelling, op13_negatives)}
+ORACLE: dict[str, str] = {"op6_perspectives": chat.ORACLE, "op11_rendezvous": sharding.ORACLE, "op12_spelling": spelling.ORACLE, "op13_negatives": negatives.ORACLE}
