@@ -2,8 +2,9 @@
 
 The model is an interpolated trigram model with Dirichlet-smoothed probabilities: p(w | u v) = A(u v w) + B(u v) p(w | v) with
 A = c(u v w) / (c(u v) + MU[1]) and B = MU[1] / (c(u v) + MU[1]); p(w | v) is made likewise, with MU[0], of p(w), the add-one
-unigram probability. Over the known words and one class for all unknown ones each sums to one. The trie keeps A, the smoothed
-probability that is an n-gram's own, as a quantised logarithm. Its levels are Elias-Fano sequences, low bits packed, high bits
+unigram probability. Over the known words and one class for all unknown ones each sums to one before A is quantised, and to
+no more after, as A is rounded down and context counts are exact. The trie keeps A, the smoothed probability that is an
+n-gram's own, as a quantised logarithm. Its levels are Elias-Fano sequences, low bits packed, high bits
 in unary with sampled counts: the ids of a level, which grow within a context and are made monotone over all contexts by adding
 what came before, and pointers from each context into the next level. A query finds its first word, and then, level by level,
 the successor of (the context's base + word id) in the context's own range. A shard's levels are written to a file that is
@@ -258,11 +259,11 @@ class View:
         self.pair_of = np.full(max(0, len(t) - 1), -1, np.int32)
         self.pair_of[ok] = place
 
-    def triples(self, codes: np.ndarray) -> None:
+    def triples(self, codes: np.ndarray, more: np.ndarray) -> None:
         """Likewise for triples whose two pairs are both in the training data (no other can be)."""
         self.share = from_codes(codes)  # A of every distinct pair
         u = self.pair // max(1, self.words)
-        self.pair_count = np.rint(self.share * (self.count[u] + self.mu[0]))
+        self.pair_count = about(codes, self.count[u] + self.mu[0]) + more  # exact
         some = self.pair_of >= 0
         some[some] = codes[self.pair_of[some]] > 0
         ok = np.flatnonzero(some[:-1] & some[1:])
@@ -307,12 +308,13 @@ def _ask(block: int, messages, trained: np.ndarray, hot: float) -> pa.RecordBatc
     return _rows(out)
 
 
-def _answers(rows: list[dict], messages, n: int) -> np.ndarray:
-    """Codes of n distinct pairs or triples; 0: not in the training data."""
-    got, codes = {r["shard"]: r["payload"] for r in rows or ()}, np.zeros(n, np.int64)
+def _answers(rows: list[dict], messages, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of n distinct pairs or triples (0: not in the training data), and how many more a pair occurs than its code says."""
+    got, codes, more = {r["shard"]: r["payload"] for r in rows or ()}, np.zeros(n, np.int64), np.zeros(n, np.int64)
     for s, at, *_ in messages:
-        codes[at] = unpack(got[s])["code"]
-    return codes
+        x = unpack(got[s])
+        codes[at], more[at] = x["code"], x.get("more", 0)
+    return codes, more
 
 
 # ---- the trie --------------------------------------------------------------------------------------------------
@@ -457,8 +459,8 @@ class Trie:
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """-log10 p in whole steps, at most what 16 bits hold beside the mark of none."""
-    return np.minimum(np.rint(-np.log10(p) * STEPS), 65534).astype(np.int64)
+    """-log10 p in whole steps, rounded so that p never grows; at most what 16 bits hold beside the mark of none."""
+    return np.minimum(np.ceil(-np.log10(p) * STEPS), 65534).astype(np.int64)
 
 
 def from_codes(code: np.ndarray) -> np.ndarray:
@@ -466,6 +468,11 @@ def from_codes(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((1 - code) / STEPS), 0.0)
 
 
+def about(code: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The count that an answered code and its context's smoothed count stand for, nearly."""
+    return np.rint(from_codes(code) * total)
+
+
 def _answer(order: int, top: int, mu: float):
     """A shard's n-grams: builds its part of the trie from the training counts and answers each message."""
 
@@ -493,11 +500,14 @@ def _answer(order: int, top: int, mu: float):
             del context, trained, first, names
             some = count > 0
             trie = Trie([c[some] for c in columns], quantised(count[some] / (total[some] + mu)))
-            del total, count
-            code = (trie.find(columns) + 1).astype(np.uint16)[place]
+            code = trie.find(columns) + 1
+            answer = {"code": code.astype(np.uint16)[place]}
+            if order == 2:  # contexts of triples, whose counts have to be exact for probabilities to add up to one
+                answer["more"] = np.where(some, count - about(code, total + mu), 0).astype(np.int32)[place]
+            del total, count, code
             at = 0
             for (block, _), n in zip(rows, sizes, strict=True):
-                yield _rows([(shard, block, pack(code=code[at : at + n]))])
+                yield _rows([(shard, block, pack(**{k: v[at : at + n] for k, v in answer.items()}))])
                 at += n
 
     return run
@@ -552,7 +562,7 @@ def scored(docs: DataFrame, mu: tuple[float, float] = MU, folds: int = 7, held:
         out.mu = mu
         out.pairs()
         if "pairs" in row:
-            out.triples(_answers(row["pairs"], out.pair_messages(n_shards, hot), len(out.pair)))
+            out.triples(*_answers(row["pairs"], out.pair_messages(n_shards, hot), len(out.pair)))
         return out
 
     def each(f):
@@ -573,7 +583,7 @@ def scored(docs: DataFrame, mu: tuple[float, float] = MU, folds: int = 7, held:
 
     def finish(row: dict) -> pa.RecordBatch:
         v = view(row)
-        return _scores(v, _answers(row["triples"], v.triple_messages(n_shards, hot), len(v.triple)), n_all, n_words)
+        return _scores(v, _answers(row["triples"], v.triple_messages(n_shards, hot), len(v.triple))[0], n_all, n_words)
 
     pairs = sent(known.mapInArrow(each(ask_pairs), ROW)).mapInArrow(_answer(2, top, mu[0]), ROW)
     known = known.join(grouped(pairs, "pairs"), "block", "left")

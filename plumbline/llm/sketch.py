@@ -3,8 +3,8 @@
 Every five-word shingle is hashed to 64 bits; the sketch keeps each distinct hash below a fixed fraction of the hash
 space. A sketch's size follows the text's, sketches of parts merge into the sketch of the whole, and the share of one
 sketch's hashes found in another estimates containment even between very unequal documents. A text whose shingles all
-hash above the threshold keeps its smallest hash alone, which names the text but is in no larger sketch; the likeness of such
-a short text is taken from all hashes of both texts instead.
+hash above the threshold keeps all of them, which marks it: no other sketch is without a hash below the threshold. Two such
+short texts are compared by all their shingles; one beside a longer text shares nothing with it that either sketch tells of.
 
 Defined cases: null or empty text, or one without words: the empty sketch, whose likeness is 1 to another empty sketch
 and 0 to any other. Fewer than five words: one shingle, the whole sequence. Equal doc_ids are ordered by text; a null
@@ -59,15 +59,8 @@ def sketches(data: np.ndarray, offsets: np.ndarray, fraction: float = FRACTION,
     keep = h <= _U(int(fraction * 2**64) - 1)
     got = np.bincount(owner[keep], minlength=n)
     lone = np.flatnonzero((counts > 0) & (got == 0))
-    if len(lone):  # the smallest hash of a text that has none below the threshold
-        among = np.isin(owner, lone)
-        ho, oo = h[among], owner[among]
-        order = np.lexsort((ho, oo))
-        ho, oo = ho[order], oo[order]
-        head = np.concatenate([[True], oo[1:] != oo[:-1]])
-        h, owner = np.concatenate([h[keep], ho[head]]), np.concatenate([owner[keep], oo[head]])
-    else:
-        h, owner = h[keep], owner[keep]
+    keep |= np.isin(owner, lone)  # all hashes of a text that has none below the threshold
+    h, owner = h[keep], owner[keep]
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     if len(h):
@@ -80,7 +73,7 @@ def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarra
     """The sketch of both texts' shingles together."""
     both = np.union1d(a, b)
     low = both[both <= _U(int(fraction * 2**64) - 1)]
-    return low if len(low) else both[:1]
+    return low if len(low) else both
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -94,11 +87,6 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return shared(a, b) / min(len(a), len(b))
 
 
-def lone(sketch: np.ndarray, fraction: float = FRACTION) -> bool:
-    """Whether a sketch holds no hash below the threshold, but the smallest there is."""
-    return len(sketch) == 1 and int(sketch[0]) >= int(fraction * 2**64)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
@@ -106,16 +94,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return s / (len(a) + len(b) - s)
 
 
-def likenesses(texts: list[tuple[str, str]], pairs: list[tuple[np.ndarray, np.ndarray]], fraction: float = FRACTION) -> list[tuple[float, float]]:
-    """Containment and Jaccard likeness of pairs of texts by their sketches, or by all hashes where one is a lone one."""
-    short = [i for i, (a, b) in enumerate(pairs) if lone(a, fraction) or lone(b, fraction)]
-    whole = sketches(*text_buffers(pa.array([t for i in short for t in texts[i]], pa.large_string())), 1.0)
-    pairs = pairs.copy()
-    for k, i in enumerate(short):
-        pairs[i] = whole[2 * k], whole[2 * k + 1]
-    return [(containment(a, b), jaccard(a, b)) for a, b in pairs]
-
-
 def as_text(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 
@@ -183,8 +161,8 @@ def edited_likeness(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
                 edited = [own[i][: len(own[i]) - len(own[i]) // 3] + own[i + 1][: len(own[i]) // 3] for i in pair]
                 mine = sketches(*text_buffers(pa.array(own, pa.large_string())), fraction)
                 theirs = sketches(*text_buffers(pa.array(edited, pa.large_string())), fraction)
-                likeness = likenesses([(own[i], e) for i, e in zip(pair, edited, strict=True)], [(mine[i], t) for i, t in zip(pair, theirs, strict=True)], fraction)
-                nexts = likenesses([(own[i], own[i + 1]) for i in pair], [(mine[i], mine[i + 1]) for i in pair], fraction)
+                likeness = [(containment(mine[i], t), jaccard(mine[i], t)) for i, t in zip(pair, theirs, strict=True)]
+                nexts = [(containment(mine[i], mine[i + 1]), jaccard(mine[i], mine[i + 1])) for i in pair]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([got[i][2] for i in pair], pa.int64()), "n_chars": pa.array([len(own[i]) for i in pair], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),

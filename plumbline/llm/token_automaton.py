@@ -50,11 +50,27 @@ SLOTS = 1 << 22
 MOST = 16  # no transition emits as many tokens, or takes as many back
 
 
+#: Letters and decimal digits of Unicode 16, and pairs of cases of Unicode 16 and 17, which the tokenizer's
+#: tables have and Python's (15.1) lack: first and last code point, or upper and lower case of a range's first and its last.
+_NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+_NEW_CASES = (
+    (0x1C89, 0x1C8A, 0x1C89), (0xA7CB, 0x0264, 0xA7CB), (0xA7CC, 0xA7CD, 0xA7CC), (0xA7CE, 0xA7CF, 0xA7CE), (0xA7D2, 0xA7D3, 0xA7D2), (0xA7D4, 0xA7D5, 0xA7D4), (0xA7DA, 0xA7DB, 0xA7DA), (0xA7DC, 0x019B, 0xA7DC),
+    (0x10D50, 0x10D70, 0x10D65), (0x16EA0, 0x16EBB, 0x16EB8),
+)
+_LOWER = {a + i: b + i for a, b, last in _NEW_CASES for i in range(last - a + 1)}
+
+
 @lru_cache(maxsize=1 << 16)
 def kind(char: str) -> int:
     if ord(char) in _SPACES:
         return SPACE
     c = unicodedata.category(char)[0]
+    if c == "C":  # unassigned, perhaps, for Python alone
+        c = "L" if any(a <= ord(char) <= b for a, b in _NEW_LETTERS) else "N" if any(a <= ord(char) <= b for a, b in _NEW_DIGITS) else c
     return LETTER if c == "L" else NUMBER if c == "N" else OTHER
 
 
@@ -402,7 +418,7 @@ class Counter:
     @staticmethod
     def normalised(text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_LOWER)  # no final sigma
         return text.lower()
 
     def counts(self, texts: list[str | None]) -> np.ndarray:

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe_codec, mcd_rules, ngram_trie, packing, simhash_gray, sketch, suffix_dedup, token_automaton
@@ -88,7 +90,7 @@ def check_scores(got, rows, mu):
         w = [*WORD.findall(t.translate(LOWER)), None]
         score = math.log10(p1(w[0])) + sum(math.log10(p2(*x)) for x in [w[:2]] if len(x) > 1) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:], strict=False))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10(p1(x)) for x in w), abs_tol=1e-6) and abs(r.score - score) <= len(w) / ngram_trie.STEPS
+        assert math.isclose(r.base_score, sum(math.log10(p1(x)) for x in w), abs_tol=1e-6) and 0 <= score - r.score + 1e-9 <= len(w) / ngram_trie.STEPS + 1e-6  # the exact ones add up to one, and none is above its own
 
 
 @pytest.mark.parametrize(("shard", "block"), [(3000, 2000), (10**6, 10**6), (40, 500)])
@@ -108,6 +110,14 @@ def test_ngram_trie_without_pairs(spark, rows):
         assert all(r.base_score == r.score == 0 == r.train_tokens for r in got)
 
 
+def test_no_probability_above_one(spark):
+    """One word again and again: each of its contexts has nearly all of the probability, and not more."""
+    rows = [(i, "word " * 3000 if i == 1 else "a few other words") for i in (1, 3, 4, 5, 6)]
+    got = {r.doc_id: r for r in ngram_trie.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    check_scores([(r, dict(rows)[i]) for i, r in got.items()], rows, ngram_trie.MU)
+    assert all(r.score < 0 for r in got.values())
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_elias_fano_trie(order):
     r = np.random.default_rng(3)
@@ -157,9 +167,7 @@ def test_sketch_against_brute_force(docs, rows):
         return {int(sketch.sketches(*buffers([" ".join(w[k : k + 5])]), fraction=1.0)[0][0]) for k in range(max(1, len(w) - 4))} if w else set()
 
     def near(a, b):
-        low = [{h for h in x if h < limit} for x in (a, b)]
-        if all(low) or not (a and b):
-            a, b = (x or y for x, y in zip(low, (a, b), strict=True))
+        a, b = ({h for h in x if h < limit} or x for x in (a, b))  # what their fingerprints hold
         return float(not a and not b) if not (a and b) else len(a & b) / min(len(a), len(b))
 
     known = {}
@@ -168,18 +176,33 @@ def test_sketch_against_brute_force(docs, rows):
     for k, t in enumerate(texts):
         nxt, m = texts[(k + 1) % len(texts)], len(t) // 3
         edited = t[: len(t) - m] + nxt[:m]
-        prints = ["".join(f"{h:016x}" for h in sorted({h for h in all_(x) if h < limit} or {min(all_(x))})) if all_(x) else "" for x in (t, edited)]
+        prints = ["".join(f"{h:016x}" for h in sorted({h for h in all_(x) if h < limit} or all_(x))) for x in (t, edited)]
         want[order[k][0], *prints, round(near(all_(t), all_(edited)), 9), round(near(all_(t), all_(nxt)), 9)] += 1
     got = sketch.edited_likeness(docs).collect()
     assert want == collections.Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
 
 
-def test_short_text_inside_long_one():
-    long, short = prose(4, 400), " ".join(prose(4, 400).split()[20:29])
-    for first in range(12):  # some of these have no hash below the threshold
-        short = " ".join(long.split()[20 + first : 29 + first])
-        a, b = (sketch.sketches(*buffers([t]))[0] for t in (short, long))
-        assert sketch.likenesses([(short, long)], [(a, b)])[0][0] == 1.0
+def test_short_texts():
+    """Likeness comes from the fingerprints alone: one without a hash below the threshold holds all of its text's."""
+    words, limit, lone = prose(4, 400).split(), int(sketch.FRACTION * 2**64), 0
+    whole = sketch.sketches(*buffers([" ".join(words)]))[0]
+    for first in range(12):
+        short, more = (sketch.sketches(*buffers([" ".join(words[20 + first : n + first])]))[0] for n in (29, 30))
+        if int(short[0]) < limit:
+            assert sketch.containment(short, whole) == 1.0
+        elif int(more[0]) >= limit:
+            lone += 1
+            assert (len(short), len(more), sketch.containment(short, more), sketch.jaccard(short, more)) == (5, 6, 1.0, 5 / 6) and sketch.containment(short, whole) == 0.0
+    assert lone > 2
+
+
+def test_likeness_from_fingerprints(spark, sf):
+    """Every row's likeness follows from its own columns and the next row's fingerprint."""
+    got = sorted(sketch.edited_likeness(spark.read.parquet(f"{sf}/documents.parquet")).collect(), key=lambda r: -r.doc_id)
+    held = lambda x: {x[i : i + 16] for i in range(0, len(x), 16)}
+    near = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+    for r, n in zip(got, [*got[1:], got[0]], strict=True):
+        assert r.near_edited == near(held(r.fingerprint), held(r.edited_fingerprint)) and r.near_next == near(held(r.fingerprint), held(n.fingerprint))
 
 
 def test_sketch_merges():
@@ -421,6 +444,13 @@ def test_suffix_sort():
         assert mine == sorted(mine) and len(mine) == (cls == c).sum()
 
 
+def test_without_repeats_of_strict_columns(spark):
+    """A column that can't be null becomes one that can, where a text is null."""
+    strict = StructType([StructField("doc_id", LongType(), False), StructField("text", StringType()), StructField("n_chars", LongType(), False), StructField("lang", StringType(), False)])
+    got = suffix_dedup.without_repeats(spark.createDataFrame([(1, None, 0, "en"), (2, "plain", 5, "en"), (3, "y" * 900, 900, "de")], strict)).collect()
+    assert sorted(map(tuple, got)) == [(1, None, None, "en"), (2, "plain", 5, "en"), (3, "", 0, "de")]
+
+
 def test_without_repeats(docs):
     left = suffix_dedup.without_repeats(docs)
     one = {r.doc_id: r for r in left.collect()}
@@ -446,6 +476,22 @@ def test_token_automaton(docs, rows):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 2048)
 
 
+def test_token_automaton_over_unicode():
+    """Every code point's normal form and kind as the library has them; counts for those whose kind Python doesn't know."""
+    mine, library = token_automaton.Counter(public_tokenizers.path(WORD_BPE)), Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+    new = []
+    for c in (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        kind = token_automaton.kind(c)
+        if kind != token_automaton.SPACE:
+            assert mine.normalised(c) == library.normalizer.normalize_str(c), hex(ord(c))
+        n = [len(library.pre_tokenizer.pre_tokenize_str(t)) for t in ("a" + c + c, c + c)] if not c.isascii() else None
+        assert n in (None, {token_automaton.LETTER: [1, 1], token_automaton.NUMBER: [3, 2], token_automaton.SPACE: [1, 0], token_automaton.OTHER: [2, 1]}[kind]), hex(ord(c))
+        if unicodedata.category(c) == "Cn" and kind != token_automaton.OTHER and ord(c) % 7 == 0 or mine.normalised(c) != unicodedata.normalize("NFC", c).lower():
+            new.append(c)
+    texts = [form.format(c) for c in new for form in ("a{0}b", "1{0}{0}!{0} ")]
+    assert len(new) > 600 and mine.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_automaton_chunks(monkeypatch):
     monkeypatch.setattr(token_automaton, "CHUNK", 7)
     monkeypatch.setattr(token_automaton, "STATES", 300)
