@@ -178,7 +178,8 @@ def _best(rows: DataFrame, anchors: DataFrame, k: int, places: int = 0, low: int
     if there are places, for each of its scores the best k of other labels from `low` to `high` percent of it."""
     spark = rows.sparkSession
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("d")).first()
-    cells = max(shuffle_parts(spark), -(-size.n * max(size.d or 0, 1) // CELL))
+    # as many as memory asks for, and for more cores as long as a cell has a whole block of rows
+    cells = max(1, min(shuffle_parts(spark), size.n // ROWS), -(-size.n * max(size.d or 0, 1) // CELL))
     slabs = max(1, -(-anchors.count() // ANCHORS))
     dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
