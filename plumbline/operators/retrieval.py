@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Config
 from plumbline.functions import lexicon
+from plumbline.operators import pool
+from plumbline.sources.tables import materialised
 
 
 def best(hits: DataFrame, k: int, query: list[str], score: str = "score", doc: str = "doc", name: str = "rank") -> DataFrame:
@@ -141,38 +144,62 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int = DEFAULT.k_dense) -> Da
     return best(hits, k, ["query"])
 
 
-def pool_evidence(turns: DataFrame, products: DataFrame, posted: DataFrame) -> DataFrame:
-    """Every product of a turn's pool with what speaks for it.
+#: The first pass over a pool, and what the second adds to the best of the first.
+FIRST_PASS = {"exact": 1.0, "same": 0.5, "distance": -0.05, "overlap": 0.05, "boost": 1.0}
 
-    turns (query, bucket, constraints, vocab); products (doc, bucket, tokens, ...); posted (phrase, doc, position). `exact`
-    sums 20 / df over matched constraints, `same` counts equal positions, `distance` sums how far they are off, `matches`
-    counts them, `overlap` the shared words. An unknown bucket means the whole catalog, a branch of its own, so that the
-    equi-join stays one."""
-    known = products.select("bucket").distinct().withColumn("known", F.lit(True))
-    marked = turns.join(known, "bucket", "left")
-    pool = marked.where("known").drop("known").join(products, "bucket").unionByName(marked.where("known is null").drop("known", "bucket").join(products))
-    asked = turns.select("query", F.posexplode("constraints").alias("seen_at", "phrase"))
-    told = posted.join(asked.select("phrase").distinct(), "phrase", "left_semi")
-    df = told.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
-    matched = asked.join(df, "phrase").join(told, "phrase").groupBy("query", "doc").agg(
-        F.sum(20.0 / F.col("df")).alias("exact"), F.count_if(F.col("position") == F.col("seen_at")).alias("same"), F.sum(F.abs(F.col("position") - F.col("seen_at"))).alias("distance"), F.count(F.lit(1)).alias("matches"),
-    )
-    rows = pool.join(matched, ["query", "doc"], "left").na.fill(0, ["exact", "same", "distance", "matches"])
-    return rows.withColumn("overlap", F.size(F.array_intersect("tokens", "vocab")))
+
+def close_to(budget: Column, price: Column) -> Column:
+    """How close a price is to a budget, from 0 to 1; 0 if there is none."""
+    return F.when(budget.isNotNull() & price.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(price - budget) / F.greatest(budget, F.lit(1.0)))).otherwise(0.0)
 
 
 def pool_ranks(turns: DataFrame, products: DataFrame, posted: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The additive score of every product of a turn's pool (products with boost, count and price): what `pool_evidence`
-    has, and popularity; of the best max(rerank_k, top_k) the second pass adds matches, popularity and closeness to a budget.
-    With a top_k beyond the catalog's size nothing is cut, and every product has its rank."""
-    rows = pool_evidence(turns, products.select("doc", "bucket", "tokens", "boost", "count", "price"), posted)
-    base = F.col("exact") + 0.5 * F.col("same") - 0.05 * F.col("distance") + 0.05 * F.col("overlap") + F.col("boost")
-    rows = best(rows.withColumn("base", F.round(base, 6)), max(config.rerank_k, config.top_k), ["query"], "base", name="first_rank")
-    told = F.array_compact(F.transform("constraints", lambda c: F.nullif(F.regexp_extract(c, r"\$\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))))
-    budget = F.get(told, F.lit(0)).cast("double")
-    close = F.when(budget.isNotNull() & F.col("price").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col("price") - budget) / F.greatest(budget, F.lit(1.0)))).otherwise(0.0)
-    final = F.col("base") + 2.5 * F.col("matches") + 0.05 * F.log1p(F.greatest("count", F.lit(0)).cast("double")) + 0.3 * close
-    return best(rows.withColumn("score", F.round(final, 6)), config.top_k, ["query"]).select("query", "doc", "base", "first_rank", "score", "rank")
+    """The additive score of the best of a turn's pool (turns: query, bucket, constraints, vocab; products: doc, bucket, tokens,
+    boost, count, price; posted: distinct phrase, doc, with a position): evidence and popularity; of the best
+    max(rerank_k, top_k) the second pass adds matches, popularity and closeness to a budget."""
+    asked, named = pool.questions(turns, posted)
+    asked = materialised(asked)
+    rows = pool.best_of_cells(asked, products, posted, {"": FIRST_PASS}, max(config.rerank_k, config.top_k))
+    rows = best(rows.withColumnRenamed("score", "base"), max(config.rerank_k, config.top_k), ["question"], "base", name="first_rank").join(asked.select("question", "budget"), "question")
+    final = F.col("base") + 2.5 * F.col("matches") + 0.05 * F.log1p(F.greatest("count", F.lit(0.0))) + 0.3 * close_to(F.col("budget"), F.col("price"))
+    rows = best(rows.withColumn("score", F.round(final, 6)), config.top_k, ["question"])
+    return named.join(rows, "question").select("query", "doc", "base", "first_rank", "score", "rank")
+
+
+def target_places(targets: DataFrame, turns: DataFrame, products: DataFrame, posted: DataFrame) -> DataFrame:
+    """(query, doc, rank): the place of one product (targets: query, doc) in the whole ranking of its turn's pool by the second
+    pass. Only a target's score and the number of products before it are made, no ranking; no row if it isn't in the pool."""
+    asked, named = pool.questions(turns, posted)
+    wanted = materialised(named.join(targets.select("query", F.col("doc").alias("target")), "query"))
+    asked = materialised(wanted.select("question", "target").distinct().join(asked, "question"))
+    kind = products.schema["doc"].dataType.simpleString()
+    extra = {"matches": 2.5, "log_count": 0.05}
+
+    def finals(cell: pool.Cell, question: pool.Asked, some: np.ndarray) -> np.ndarray:
+        e = pool.evidence(cell, question, some, False)
+        static, _ = cell.static("", FIRST_PASS, 6)
+        base = np.round(sum((w * e[c] for c, w in FIRST_PASS.items() if c in e), np.zeros(len(some))) + static[some], 6)
+        near = 0.0
+        if question.budget is not None:
+            near = np.nan_to_num(np.maximum(0.0, 1 - np.abs(cell.figures["price"][some] - question.budget) / max(question.budget, 1.0)))
+        return np.round(base + 2.5 * e["matches"] + 0.05 * cell.figures["log_count"][some] + 0.3 * near, 6)
+
+    def own(cell: pool.Cell, ids: pa.Array, question: pool.Asked, with_: dict) -> dict:
+        at = pc.index(ids, pa.scalar(with_["target"], ids.type)).as_py()
+        some = np.array([at] if at >= 0 else [], np.int64)
+        return {"target": ids.take(pa.array(some)), "score": finals(cell, question, some)}
+
+    def before(cell: pool.Cell, ids: pa.Array, question: pool.Asked, with_: dict) -> dict:
+        some = pool.reached(cell, "final", FIRST_PASS | extra, 6, question, with_["score"], 0.3 + pool.MARGIN)
+        score = finals(cell, question, some)
+        target = pa.scalar(with_["target"], ids.type)
+        smaller = pc.less(ids.take(pa.array(some)), target).to_numpy(zero_copy_only=False)
+        return {"target": pa.array([target.as_py()], ids.type), "n": np.array([np.sum((score > with_["score"]) | (score == with_["score"]) & smaller)], np.int64)}
+
+    scores = materialised(pool.met(asked, products, posted, own, f"question string, target {kind}, score double", ["target"]))
+    n = pool.met(asked.join(scores, ["question", "target"]), products, posted, before, f"question string, target {kind}, n long", ["target", "score"])
+    ranks = n.groupBy("question", "target").agg((F.sum("n") + 1).alias("rank"))
+    return wanted.join(ranks, ["question", "target"]).select("query", F.col("target").alias("doc"), "rank")
 
 
 #: Formulas that weigh the evidence otherwise, as weights of its parts. Fixed values.
@@ -193,11 +220,9 @@ FORMULAS = {
 def formula_ranks(turns: DataFrame, products: DataFrame, posted: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
     """(variant, query, doc, score, rank): the best k of the whole pool by each of FORMULAS. products (doc, bucket, tokens,
     search_text, count, stars, pop_rank)."""
-    rows = pool_evidence(turns, products, posted)
-    rows = rows.withColumns({"in_text": F.size(F.filter("constraints", lambda c: F.col("search_text").contains(F.lower(c)))), "log_count": F.log1p(F.greatest("count", F.lit(0)).cast("double")), "pop_rank": F.coalesce("pop_rank", F.lit(999_999))})
-    score = lambda parts: F.round(sum((w * F.col(c) for c, w in parts.items()), F.lit(0.0)), 9)
-    each = rows.select("query", "doc", F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), score(parts).alias("score")) for name, parts in FORMULAS.items()])).alias("x"))
-    return best(each.select("x.variant", "query", "doc", "x.score"), k, ["variant", "query"])
+    asked, named = pool.questions(turns, posted)
+    rows = best(pool.best_of_cells(materialised(asked), products, posted, FORMULAS, k, 9), k, ["variant", "question"])
+    return named.join(rows, "question").select("variant", "query", "doc", "score", "rank")
 
 
 def backfilled(ranked: DataFrame, popular: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -262,7 +261,7 @@ SELECT t.query, r.rank, CASE WHEN r.rank IS NULL THEN 'miss' WHEN r.rank <= 3 TH
 def target_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each target's rank among all products of its turn's pool."""
     turns, products, posted = pool_turns(spark, sf_dir)
-    ranked = retrieval.pool_ranks(turns, products, posted, replace(DEFAULT, top_k=(1 << 31) - 1)).select("query", "doc", "rank")
     n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
     t = table(spark, sf_dir, "customer").join(F.broadcast(n)).select(F.col("c_custkey").alias("query"), (F.col("c_custkey") * 7 % F.col("n")).alias("doc"))
+    ranked = retrieval.target_places(t, turns, products, posted)
     return t.join(ranked, ["query", "doc"], "left").select("query", "rank", evaluation.rank_bucket(F.col("rank")).alias("bucket"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULT
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
-from plumbline.operators import ranking, retrieval
+from plumbline.operators import pool, ranking, retrieval
 from plumbline.plans.cleaning import CARDS, catalog, part_cards
 from plumbline.plans.registry import CATALOG, listed, query
-from plumbline.sources.tables import table
+from plumbline.sources.tables import materialised, table
 
 K = 10
 
@@ -133,6 +133,16 @@ def fast_pool_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.pool_ranks(*pool_turns(spark, sf_dir))
 
 
+@query()
+def pool_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By bucket: its questions, the products of their pools, and how many of these were scored for the first pass."""
+    turns, products, posted = pool_turns(spark, sf_dir)
+    asked, _ = pool.questions(turns, posted)
+    asked = materialised(asked)
+    rows = pool.reads(asked, products, posted, retrieval.FIRST_PASS, DEFAULT.rerank_k).join(asked.select("question", "bucket"), "question")
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("questions"), F.sum("pool").alias("pool"), F.sum("read").alias("read"))
+
+
 @query(f"""WITH {CATALOG}, o AS (SELECT p_type AS query, p_partkey AS doc, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 6),
 pop AS (SELECT doc, row_number() OVER (ORDER BY cnt DESC, stars DESC, doc) AS pop_rank FROM catalog), r AS (SELECT query, doc, 0 AS tier, rank FROM o UNION ALL SELECT t.query, pop.doc, 1, pop_rank FROM (SELECT DISTINCT p_type AS query FROM part) t, pop WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.query = t.query AND o.doc = pop.doc))
 SELECT query, doc, tier, row_number() OVER (PARTITION BY query ORDER BY tier, rank, doc) AS place FROM r QUALIFY place <= {K}""")
