@@ -48,40 +48,6 @@ def rare_constraints(disclosed: DataFrame, posted: DataFrame, k: int = DEFAULT.k
     return best(hits, k, ["query"])
 
 
-def term_counts(docs: DataFrame, doc: str, terms: str, asked: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf, dl), of the terms of `asked` (term) alone where it is given: others are never counted or exchanged."""
-    rows = docs.select(F.col(doc).alias("doc"), F.size(terms).alias("dl"), F.explode(terms).alias("term"))
-    if asked is not None:
-        rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
-def bm25(queries: DataFrame, counts: DataFrame, lengths: DataFrame, k: int = DEFAULT.k_lexical, k1: float = DEFAULT.bm25_k1, b: float = DEFAULT.bm25_b) -> DataFrame:
-    """queries (query, term), distinct; counts (doc, term, tf, dl) of the queries' terms at least; lengths (doc, dl) of all
-    documents. Only the postings of the queries' terms are scored."""
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    asked = queries.select("term").distinct()
-    posted = counts.join(asked, "term")
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = queries.join(df, "term").join(posted, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return best(hits, k, ["query"])
-
-
-def weighted_fields(queries: DataFrame, fields: DataFrame, weights: dict[str, float], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over several fields as one: a term's frequency is the weighted sum over fields (doc, field, terms), a
-    document's length the plain one."""
-    weight = F.coalesce(F.element_at(F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field")), F.lit(1.0))
-    rows = fields.select("doc", weight.alias("w"), F.explode("terms").alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
-    lengths = fields.groupBy("doc").agg(F.sum(F.size("terms")).alias("dl"))
-    counts = rows.groupBy("doc", "term").agg(F.sum("w").alias("tf")).join(lengths, "doc")
-    return bm25(queries, counts, lengths, k, k1, b)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def query_text(category: Column, phrases: Column, message: Column) -> Column:
     """What is encoded for a turn: category, constraints and message, as far as there are any."""
     told = F.array_join(F.filter(phrases, lambda p: p != ""), " ")

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
-from plumbline.operators import pool, ranking, retrieval
+from plumbline.operators import lexical, pool, ranking, retrieval
 from plumbline.plans.cleaning import CARDS, catalog, part_cards
 from plumbline.plans.registry import CATALOG, listed, query
-from plumbline.sources.tables import materialised, table
+from plumbline.sources.tables import file_path, materialised, shared_folder, table
 
 K = 10
 
 
-def _terms(df: DataFrame, id_: str) -> DataFrame:
-    return df.select(F.col(id_).alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+def _words(text_: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text_), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical index of the documents; it is written once for their files, and read by every query after."""
+    docs = table(spark, sf_dir, "documents")
+    at = file_path(f"{shared_folder(spark)}/lexical", "documents-1", docs)
+    return lexical.stored(spark, at, docs.select(F.col("doc_id").alias("doc"), _words(F.col("text")).alias("terms")))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs, asked = _terms(table(spark, sf_dir, "documents"), "doc_id"), _terms(table(spark, sf_dir, "benchmark"), "item_id")
-    asked = asked.select(F.col("id").alias("query"), F.explode(F.array_distinct("w")).alias("term"))
-    counts = retrieval.term_counts(docs, "id", "w", asked)
-    return retrieval.bm25(asked, counts, docs.select(F.col("id").alias("doc"), F.size("w").alias("dl")), k)
+    return lexical.bm25(document_index(spark, sf_dir), _asked(spark, sf_dir), k)
 
 
 BM25 = """t AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), dl AS (SELECT doc, len(w) AS dl FROM t),
@@ -40,12 +48,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_hits(spark, sf_dir, K).select("query", "doc", "score", "rank")
 
 
+@query()
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By query, the blocks of its terms and how many of them were opened for the best K."""
+    rows = lexical.bm25_cells(document_index(spark, sf_dir), _asked(spark, sf_dir), K)
+    return rows.where("doc is null").groupBy("query").agg(F.sum("blocks").alias("blocks"), F.sum("opened").alias("opened"))
+
+
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.word_set(F.col("text"))).alias("phrase"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("category"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(text.word_set(F.col("text"))).alias("phrase"))
-    docs = docs.join(asked.select("phrase").distinct(), "phrase", "left_semi").select("doc", "phrase")
-    n = table(spark, sf_dir, "documents").select(F.count_distinct("doc_id").alias("n"))
-    return retrieval.exact_phrases(asked, docs, cat.smoothed_idf(docs, n))
+    return lexical.matched(document_index(spark, sf_dir), _asked(spark, sf_dir).withColumn("confidence", F.lit(1.0)))
 
 
 EXACT = """p AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS phrase FROM documents),
@@ -87,11 +98,13 @@ h AS (SELECT query, doc, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE *
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score > 0 QUALIFY rank <= {K}""")
 def fts_weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages without stop words and single letters, at most MOST_TERMS terms each, against six weighted fields."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     p = table(spark, sf_dir, "part")
-    fields = p.select(F.col("p_partkey").alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.expr(x)).alias("terms")) for f, x in _FIELDS.items()])).alias("x")).select("doc", "x.*")
+    fields = [(weight, _words(F.expr(_FIELDS[f]))) for f, weight in FIELD_WEIGHTS.items()]
+    # a term counts its field's weight for each occurrence
+    docs = p.select(F.col("p_partkey").alias("doc"), F.concat(*[t for _, t in fields]).alias("terms"), F.concat(*[F.array_repeat(F.lit(w), F.size(t)) for w, t in fields]).alias("weights"))
+    index = lexical.stored(spark, file_path(f"{shared_folder(spark)}/lexical", "part-fields-1", p), docs)
     asked = p.select(F.expr(_MESSAGE).alias("query")).distinct().select("query", F.explode(F.slice(F.array_distinct(text.query_terms(F.col("query"))), 1, MOST_TERMS)).alias("term"))
-    return retrieval.weighted_fields(asked, fields, FIELD_WEIGHTS, K).select("query", "doc", "score", "rank")
+    return lexical.bm25(index, asked, K, 1.2, 0.75).select("query", "doc", "score", "rank")
 
 
 @query(f"""WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT query, vec_id AS doc, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings)

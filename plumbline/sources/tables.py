@@ -21,15 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the cluster's shared folder (a temporary one in local mode, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one in local mode alone, where none may be configured (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not (at := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        if not (at := spark.conf.get("spark.checkpoint.dir", None)):
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(at)
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
