@@ -1,4 +1,4 @@
-"""A learnt reranker: rows, a stable split, Spark ML boosting. Pointwise, in place of a pairwise booster."""
+"""A learnt reranker: rows, a stable split, and a pointwise model by Spark ML, beside the listwise one of `listwise`."""
 
 from __future__ import annotations
 
@@ -32,7 +32,14 @@ def fitted(rows: DataFrame, trees: int = 20, depth: int = 4, step: float = 0.1,
     return PipelineModel([vector, tree])
 
 
-def rescored(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
+#: In place of a model: the rows have their prediction.
+PREDICTED = "predicted"
+
+
+def rescored(rows: DataFrame, model: PipelineModel | str | None) -> DataFrame:
     """The order by the model's prediction; without a model, by the score that is there."""
-    scored = rows.withColumn("final", F.col("fused")) if model is None else model.transform(rows).withColumn("final", F.round("prediction", 6))
+    if model is None:
+        scored = rows.withColumn("final", F.col("fused"))
+    else:
+        scored = (rows if model == PREDICTED else model.transform(rows)).withColumn("final", F.round("prediction", 6))
     return best(scored, 1 << 30, ["query"], "final", name="final_rank").select("query", "doc", "final", "final_rank")

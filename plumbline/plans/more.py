@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
-from plumbline.operators import evaluation, learning, ranking, retrieval, sessions
+from plumbline.operators import evaluation, learning, listwise, ranking, retrieval, sessions
 from plumbline.plans.cleaning import CARDS, part_cards
 from plumbline.plans.registry import query
 from plumbline.plans.search import BM25, EXACT, part_features, two_routes
 from plumbline.plans.simulation import session_simulation
-from plumbline.sources.tables import materialised, table
+from plumbline.sources.tables import materialised, shared_folder, table
 
 
 @query("""WITH t AS (SELECT item_id AS id, sha256(unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS h FROM benchmark),
@@ -69,14 +69,32 @@ def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), "quality"), "doc", "left").groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(good.cast("double")), 6).alias("good"))
 
 
-@query()
-def learnt_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of customers beyond the training share, in the order of a model fitted on the others'."""
+def judged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with features, a grade (the wanted product 2, one that has all that was asked for 1), and the side of the split."""
     n = table(spark, sf_dir, "part").count()
-    rows = materialised(part_features(spark, sf_dir).withColumn("label", (F.col("query") * 7 % n == F.col("doc")).cast("double")))
+    grade = F.when(F.col("query") * 7 % n == F.col("doc"), 2.0).when(F.col("coverage") >= 1.0, 1.0).otherwise(0.0)
+    rows = materialised(part_features(spark, sf_dir).withColumn("label", grade))
     side = learning.split(rows.select(F.col("query").alias("id")))
-    rows = rows.join(side.withColumnRenamed("id", "query"), "query")
-    return learning.rescored(rows.where(~F.col("train")), learning.fitted(rows.where("train")))
+    return materialised(rows.join(side.withColumnRenamed("id", "query"), "query"))
+
+
+@query()
+def learnt_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of customers beyond the training share, in the order of a listwise model fitted on the others'; the model is
+    read if it has been fitted on the same rows before."""
+    rows = judged_candidates(spark, sf_dir)
+    model = listwise.stored(spark, f"{shared_folder(spark)}/models", rows.where("train"), learning.NAMES)
+    return learning.rescored(rows.where(~F.col("train")).withColumn("prediction", listwise.score(model)), learning.PREDICTED)
+
+
+@query()
+def rerank_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG of the first ten on the held-out queries: by the fused score, the heuristic, and the listwise model."""
+    rows = judged_candidates(spark, sf_dir)
+    model = listwise.stored(spark, f"{shared_folder(spark)}/models", rows.where("train"), learning.NAMES)
+    held = rows.where(~F.col("train"))
+    orders = {"fused": F.col("fused"), "heuristic": ranking.heuristic(F.lit(True)), "listwise": listwise.score(model)}
+    return reduce(DataFrame.unionByName, [listwise.ndcg(held.withColumn("score", by)).select(F.lit(name).alias("order"), "queries", F.round("ndcg", 6).alias("ndcg")) for name, by in orders.items()])
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'blue' WHEN turn % 3 = 1 THEN 'eu40' ELSE lower(role) || ' text' END AS said FROM conversations)
