@@ -7,8 +7,6 @@ the first k of each query are kept before the exchange (Spark pushes the limit b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Config
 from plumbline.functions import lexicon
-from plumbline.operators import pool
+from plumbline.operators import dense, pool
 from plumbline.sources.tables import materialised
 
 
@@ -65,49 +63,9 @@ def wanted_gender(department: Column, style: Column) -> Column:
     return F.coalesce(lexicon.canonical_gender(style), lexicon.canonical_gender(department))
 
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
-
-
-#: Vectors of a block of queries or of documents, whose products are one matrix product.
-BLOCK = 1024
-
-
-def _blocks(rows: DataFrame, id_: str) -> DataFrame:
-    """(ids, dim, vectors): up to BLOCK unit vectors of a part, as the bytes of one matrix."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
-                ids, vectors = part.column(0).to_pylist(), part.column(1).to_pylist()
-                m = np.array(vectors, np.float64)
-                m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([ids], pa.list_(pa.int64())), "dim": pa.array([m.shape[1]], pa.int32()), "vectors": pa.array([m.tobytes()], pa.binary())})
-
-    return rows.select(F.col(id_).cast("long"), "vector").where("vector is not null").mapInArrow(pack, "ids array<long>, dim int, vectors binary")
-
-
 def nearest(queries: DataFrame, docs: DataFrame, k: int = DEFAULT.k_dense) -> DataFrame:
-    """queries (query, vector), a stated set, against all docs (doc, vector), all of one dimension: exact cosine, the best k
-    of each. Every block of documents meets every block of queries in one matrix product, of which the best k of each query
-    stay, so what is exchanged is k rows for each query and block at most."""
-    q = _blocks(queries, "query").toDF("q_ids", "q_dim", "q_vectors")
-    d = _blocks(docs, "doc")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                ids, asked = np.array(r["ids"], np.int64), np.array(r["q_ids"], np.int64)
-                m, v = np.frombuffer(r["vectors"]).reshape(-1, r["dim"]), np.frombuffer(r["q_vectors"]).reshape(-1, r["q_dim"])
-                s = np.round(v @ m.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({"query": np.repeat(asked, order.shape[1]), "doc": ids[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
-
-    hits = d.join(q, how="cross").mapInArrow(score, "query long, doc long, score double")
-    return best(hits, k, ["query"])
+    """queries (query, vector), a stated set, against all docs (doc, vector): exact cosine, the best k of each."""
+    return best(dense.searched(queries, docs, k).where("doc is not null").select("query", "doc", "score"), k, ["query"])
 
 
 #: The first pass over a pool, and what the second adds to the best of the first.

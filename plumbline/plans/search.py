@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULT
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
-from plumbline.operators import lexical, pool, ranking, retrieval
+from plumbline.operators import dense, lexical, pool, ranking, retrieval
 from plumbline.plans.cleaning import CARDS, catalog, part_cards
 from plumbline.plans.registry import CATALOG, listed, query
 from plumbline.sources.tables import file_path, materialised, shared_folder, table
@@ -115,6 +115,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(v.where("doc % 100 = 0").withColumnRenamed("doc", "query"), v, K).select("query", "doc", "score", "rank")
 
 
+@query()
+def dense_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By query of `dense_topk`, how many vectors it was multiplied with, and how many there are."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    rows = dense.searched(v.where("doc % 100 = 0").withColumnRenamed("doc", "query"), v, K).groupBy("query").agg(F.sum("multiplied").alias("multiplied"))
+    return rows.join(F.broadcast(v.agg(F.count("vector").alias("vectors"))))
+
+
 def pool_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A turn for each customer, about the product that its number stands for: (turns, products, postings)."""
     cards, items = part_cards(spark, sf_dir), catalog(spark, sf_dir)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text, utterance
-from plumbline.operators import catalog, evaluation, extraction, question, ranking, retrieval, sessions
+from plumbline.operators import catalog, dense, evaluation, extraction, question, ranking, retrieval, sessions
 from plumbline.sources import tables
 from plumbline.streaming import sessions as streams
 
@@ -144,13 +144,12 @@ def test_index_paths(spark, tmp_path):
     assert spark.read.parquet(at).first().vector == [0.5, 1.0]
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
+def test_nearest(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(70, 5))
     x[7] = x[3]
     x[9] = 0
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "doc long, vector array<double>").repartition(3)
-    monkeypatch.setattr(retrieval, "BLOCK", 8)
     got = retrieval.nearest(docs.where("doc < 20").withColumnRenamed("doc", "query"), docs, 4).collect()
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     s = np.round(u @ u.T, 6)
@@ -158,6 +157,29 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert {(a.query, a.doc): a.rank for a in got} == want
 
 
+@pytest.mark.parametrize(("pivots", "parts", "k"), [(1, 1, 3), (40, 7, 10), (12, 3, 1), (5, 4, 700)])
+def test_nearest_by_pivots(spark, pivots, parts, k):
+    """Clustered and copied vectors, zeros, opposite ones, odd components: all of the best k; and far vectors are skipped."""
+    r = np.random.default_rng(pivots)
+    centres = r.normal(size=(12, 8))
+    x = np.concatenate([centres[i % 12] + r.normal(0, 0.05, 8) for i in range(600)]).reshape(600, 8)
+    x[50:60], x[60:64], x[64] = x[49], 0, -x[1]
+    odd = [(900, None), (901, [1.0] * 7 + [None]), (902, [float("nan")] * 8), (903, [float("inf")] * 8)]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "doc long, vector array<double>")
+    asked = docs.where("doc % 9 = 0 or doc >= 900 or doc in (50, 61, 64)").withColumnRenamed("doc", "query")
+    rows = dense.searched(asked, docs, k, pivots, parts).collect()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s = np.round(u @ u.T, 6)
+    ids = [q for q in range(600) if q % 9 == 0 or q in (50, 61, 64)]
+    for q in ids:
+        mine = sorted((-round(a.score, 6), a.doc) for a in rows if a.query == q and a.doc is not None)[:k]
+        assert [d for _, d in mine] == sorted(range(600), key=lambda d: (-s[q, d], d))[:k]
+    assert {a.query for a in rows} == set(ids)
+    done = sum(a.multiplied for a in rows if a.doc is None) / len(ids) / 600
+    assert done <= 1.0 and (k != 10 or done < 0.5)
+    assert dense.searched(asked, docs.limit(0), 3).collect() == []
+
+
 def test_stream_fold(spark, tmp_path):
     """Two batches: the same states as in batch, and a turn that comes too late marked and without effect."""
     said = [(1, 1, "I'm looking for Shoes. Prefer black."), (1, 2, "For that, what matters is: cotton; wide."), (1, 3, "Actually, ignore my earlier preference. What I need is: leather."), (2, 1, "I'm looking for Hats. A key requirement is: red.")]
