@@ -97,8 +97,9 @@ def postings(docs: DataFrame, doc: str, phrases: str) -> DataFrame:
 
 
 def smoothed_idf(posted: DataFrame, n: DataFrame) -> DataFrame:
-    """(phrase, df, idf) with idf = ln((n + 1) / (df + 1)) + 1; n: one row (n) with the number of documents."""
-    df = posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
+    """(phrase, df, idf) with idf = ln((n + 1) / (df + 1)) + 1 for distinct (phrase, doc); n: one row (n) with the number of
+    documents."""
+    df = posted.groupBy("phrase").agg(F.count("doc").alias("df"))
     return df.join(F.broadcast(n)).select("phrase", "df", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
 
 

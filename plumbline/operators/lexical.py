@@ -34,7 +34,7 @@ from plumbline.operators.retrieval import best
 from plumbline.sources.tables import cached
 
 #: Postings of a block; documents and tokens of a cell at most (one document at least); queries that meet a cell together.
-BLOCK, CELL_DOCS, CELL_TOKENS, TOGETHER = 128, 1 << 15, 1 << 22, 1 << 10
+BLOCK, CELL_DOCS, CELL_TOKENS, TOGETHER = 128, 1 << 14, 1 << 20, 1 << 10
 DIGITS = 6
 MARGIN = 2e-6
 INDEX = "cell string, term string, n long, length double, block int, docs array<long>, tf array<double>, dl array<double>, most array<double>, least array<double>"

@@ -128,8 +128,8 @@ def phrase_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
 def dedupe_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
-    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
-    return counts.select("digest", "doc_id", "copies")
+    copies = rows.groupBy(F.col("digest").alias("of")).agg(F.count(F.lit(1)).alias("copies"))
+    return cat.first_seen(rows, "digest", "doc_id").join(copies, F.col("digest").eqNullSafe(F.col("of"))).select("digest", "doc_id", "copies")
 
 
 @query(f"""WITH {CATALOG} SELECT doc, row_number() OVER (ORDER BY cnt DESC, stars DESC, doc) AS rank, round(0.05 * ln(1 + cnt), 6) AS boost FROM catalog""")

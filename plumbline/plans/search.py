@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULT
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
-from plumbline.operators import dense, lexical, pool, ranking, retrieval
+from plumbline.operators import dense, lexical, pool, ranking, recovery, retrieval
 from plumbline.plans.cleaning import CARDS, catalog, part_cards
 from plumbline.plans.registry import CATALOG, listed, query
 from plumbline.sources.tables import file_path, materialised, shared_folder, table
@@ -89,22 +89,60 @@ _FIELDS = {"title": "p_name", "categories": "p_type", "features": "concat('for '
 _MESSAGE = "concat('I am looking for a ', p_type, ' ', p_name, ' by ', p_brand, ', please!')"
 
 
-@query(f"""WITH f AS ({' UNION ALL '.join(f"SELECT p_partkey AS doc, {FIELD_WEIGHTS[k]}::DOUBLE AS w, regexp_extract_all(lower({x}), '[a-z0-9]+') AS t FROM part" for k, x in _FIELDS.items())}),
+PART_FIELDS = f"""f AS ({' UNION ALL '.join(f"SELECT p_partkey AS doc, {FIELD_WEIGHTS[k]}::DOUBLE AS w, regexp_extract_all(lower({x}), '[a-z0-9]+') AS t FROM part" for k, x in _FIELDS.items())}),
 dl AS (SELECT doc, sum(len(t)) AS dl FROM f GROUP BY doc), tf AS (SELECT doc, term, sum(w) AS tf FROM (SELECT doc, w, unnest(t) AS term FROM f) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-m AS (SELECT DISTINCT {_MESSAGE} AS query FROM part), a AS (SELECT query, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: length(x) > 1 AND NOT list_contains({listed(text.BASELINE_STOP)}, x)) AS terms FROM m),
+d AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term, n)"""
+
+
+@query(f"""WITH {PART_FIELDS}, m AS (SELECT DISTINCT {_MESSAGE} AS query FROM part), a AS (SELECT query, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda x: length(x) > 1 AND NOT list_contains({listed(text.BASELINE_STOP)}, x)) AS terms FROM m),
 q AS (SELECT query, unnest(list_filter(terms, lambda x, i: list_position(terms, x) = i)[1:{MOST_TERMS}]) AS term FROM a),
-d AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term, n),
 h AS (SELECT query, doc, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN d USING (term) JOIN tf USING (term) JOIN dl USING (doc), n GROUP BY query, doc)
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score > 0 QUALIFY rank <= {K}""")
 def fts_weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages without stop words and single letters, at most MOST_TERMS terms each, against six weighted fields."""
+    asked = table(spark, sf_dir, "part").select(F.expr(_MESSAGE).alias("query")).distinct().select("query", F.explode(F.slice(F.array_distinct(text.query_terms(F.col("query"))), 1, MOST_TERMS)).alias("term"))
+    return lexical.bm25(part_index(spark, sf_dir), asked, K, 1.2, 0.75).select("query", "doc", "score", "rank")
+
+
+def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical index of the parts' weighted fields, written once."""
     p = table(spark, sf_dir, "part")
     fields = [(weight, _words(F.expr(_FIELDS[f]))) for f, weight in FIELD_WEIGHTS.items()]
     # a term counts its field's weight for each occurrence
     docs = p.select(F.col("p_partkey").alias("doc"), F.concat(*[t for _, t in fields]).alias("terms"), F.concat(*[F.array_repeat(F.lit(w), F.size(t)) for w, t in fields]).alias("weights"))
-    index = lexical.stored(spark, file_path(f"{shared_folder(spark)}/lexical", "part-fields-1", p), docs)
-    asked = p.select(F.expr(_MESSAGE).alias("query")).distinct().select("query", F.explode(F.slice(F.array_distinct(text.query_terms(F.col("query"))), 1, MOST_TERMS)).alias("term"))
-    return lexical.bm25(index, asked, K, 1.2, 0.75).select("query", "doc", "score", "rank")
+    return lexical.stored(spark, file_path(f"{shared_folder(spark)}/lexical", "part-fields-1", p), docs)
+
+
+#: What a customer asks for: a budget, and every other one a size; their product's name and brand is what they say.
+_RARE = "budget around $"
+
+
+@query(f"""WITH {CARDS}, {PART_FIELDS}, c AS (SELECT c_custkey AS query, doc, title, constraints FROM customer JOIN cards ON doc = (c_custkey * 7) % (SELECT count(*) FROM part)),
+q AS (SELECT query, phrase, CASE WHEN phrase LIKE 'size:%' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM (SELECT query, unnest(constraints) AS phrase FROM c) WHERE phrase LIKE '{_RARE}%' OR (phrase LIKE 'size:%' AND query % 2 = 0)),
+p AS (SELECT DISTINCT doc, unnest(constraints) AS phrase FROM cards), i AS (SELECT phrase, ln(((SELECT count(*) FROM part) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM p GROUP BY phrase),
+w AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence, phrase) AS weak, count(*) OVER (PARTITION BY query) AS told FROM q), l AS (SELECT w.*, level FROM w, generate_series(0, 3) AS g(level) WHERE weak > level),
+s AS (SELECT query, level, doc, round(sum(confidence * idf), 6) AS score FROM l JOIN p USING (phrase) JOIN i USING (phrase) GROUP BY ALL), e AS (SELECT *, row_number() OVER (PARTITION BY query, level ORDER BY score DESC, doc) AS rank FROM s WHERE score > 0 QUALIFY rank <= 50),
+v AS (SELECT c.query, level, least(coalesce(max(told), 0), 3) AS may FROM c LEFT JOIN w USING (query), generate_series(0, 3) AS g(level) GROUP BY ALL),
+z AS (SELECT v.query, v.level, may, count(e.doc) AS found FROM v LEFT JOIN e USING (query, level) GROUP BY ALL), y AS (SELECT query, min(level) AS level, arg_min(found, level) AS found FROM z WHERE found >= {K} OR level >= may GROUP BY query),
+o AS (SELECT query, doc, level, rank AS place FROM e JOIN y USING (query, level)),
+t AS (SELECT DISTINCT query, unnest(regexp_extract_all(lower(concat(p_name, ' ', p_brand)), '[a-z0-9]+')) AS term FROM c JOIN part ON p_partkey = doc),
+h AS (SELECT query, doc, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM t JOIN y USING (query) JOIN d USING (term) JOIN tf USING (term) JOIN dl USING (doc), n WHERE found < {K} GROUP BY query, doc),
+x AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h WHERE score > 0 QUALIFY rank <= 200),
+a AS (SELECT x.query, x.doc, y.level, y.found + row_number() OVER (PARTITION BY x.query ORDER BY x.rank) AS place FROM x JOIN y USING (query) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.query = x.query AND o.doc = x.doc))
+SELECT query, doc, 'constraints' AS tier, CAST(level AS INTEGER) AS level, place FROM o UNION ALL SELECT query, doc, 'lexical', CAST(level AS INTEGER), place FROM a WHERE place <= {K}""")
+def recovery_with_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who ask for a budget (and a size): exact phrases, then fewer of them, then words from the stored index."""
+    cards = part_cards(spark, sf_dir)
+    posted = cat.postings(cards, "doc", "constraints").select("phrase", "doc")
+    n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
+    idf = materialised(cat.smoothed_idf(posted, n))
+    targets = materialised(table(spark, sf_dir, "customer").join(F.broadcast(n)).select(F.col("c_custkey").alias("query"), (F.col("c_custkey") * 7 % F.col("n")).alias("doc")))
+    size = F.col("phrase").startswith("size:")
+    asked = targets.join(cards, "doc").select("query", F.explode("constraints").alias("phrase")).where(F.col("phrase").startswith(_RARE) | (size & (F.col("query") % 2 == 0)))
+    asked = asked.withColumns({"confidence": F.when(size, 0.5).otherwise(1.0), "category": F.lit(None).cast("string")})
+    said = targets.join(table(spark, sf_dir, "part"), F.col("doc") == F.col("p_partkey")).select("query", F.explode(F.array_distinct(_words(F.concat_ws(" ", "p_name", "p_brand")))).alias("term"))
+    last = lambda short: lexical.bm25(part_index(spark, sf_dir), said.join(short, "query", "left_semi"), DEFAULT.k_lexical, 1.2, 0.75)
+    return recovery.staged(targets, asked, lambda some: retrieval.exact_phrases(some, posted, idf), last, K)
 
 
 @query(f"""WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT query, vec_id AS doc, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings)
