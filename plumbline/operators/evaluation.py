@@ -41,6 +41,49 @@ def rank_bucket(rank: Column) -> Column:
     return F.when(rank.isNull(), "miss").when(rank == 1, "1").when(rank == 2, "2").when(rank == 3, "3").when(rank <= 10, "4-10").when(rank <= 50, "11-50").otherwise("51+")
 
 
+def breakdown(sessions: DataFrame, by: list[str]) -> DataFrame:
+    """sessions (hit, best_rank, pool_rank, and the columns `by`): for each value of each of `by`, and over all, how hits and
+    misses are ranked, in one pass. pool_rank: the best place before the cut, null where the target was never in the pool."""
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    sets = [[F.col(c)] for c in by] + [[]]
+    rows = sessions.groupingSets(sets, *[F.col(c) for c in by]).agg(
+        F.grouping_id(*by).cast("int").alias("_level"), F.count(F.lit(1)).alias("sessions"), n(hit & (F.col("best_rank") == 1), "rank_1"), n(hit & F.col("best_rank").isin(2, 3), "rank_2_3"), n(hit & F.col("best_rank").between(4, 10), "rank_4_10"),
+        n(~hit, "misses"), n(~hit & F.col("pool_rank").isNotNull(), "misses_in_pool"), n(~hit & F.col("pool_rank").isNull(), "misses_not_in_pool"), n(hit & (F.col("best_rank") != 1), "hits_not_rank_1"),
+        F.round(F.coalesce(F.sum(F.when(hit, F.col("best_rank"))), F.lit(0)) / F.greatest(F.count_if(hit), F.lit(1)), 4).alias("mean_rank_of_hits"),
+    )
+    # a set's own column is the one whose bit isn't raised
+    name, value = F.lit("all"), F.lit(None).cast("string")
+    for i, c in enumerate(by):
+        mine = F.col("_level") == (1 << len(by)) - 1 - (1 << (len(by) - 1 - i))
+        name, value = F.when(mine, c).otherwise(name), F.when(mine, F.col(c).cast("string")).otherwise(value)
+    return rows.select(name.alias("scope"), value.alias("value"), *rows.columns[len(by) + 1 :])
+
+
+def worst(sessions: DataFrame, scope: str, n: int, id_: str) -> DataFrame:
+    """The n worst sessions of each scope: misses before hits, targets that were never in the pool first, then by the places of
+    pool and slate, the lowest first, then by id."""
+    order = Window.partitionBy(scope).orderBy("hit", F.desc_nulls_first("pool_rank"), F.desc_nulls_first("best_rank"), id_)
+    return sessions.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).select(scope, "nth", id_, "hit", "pool_rank", "best_rank")
+
+
+def richness(rows: DataFrame, of: Column, sparse_below: int, share: float = 0.1) -> DataFrame:
+    """One row: how many records, how many are sparse, and the richness that a share of the records has at most (the value at
+    place floor(share x n), 1 at least). Equal values are counted before they are ordered."""
+    counts = rows.select(of.cast("long").alias("richness")).groupBy("richness").agg(F.count(F.lit(1)).alias("c"))
+    # distinct values alone meet in one window
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("richness").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    at = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
+    return upto.join(F.broadcast(n)).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("richness") < sparse_below, F.col("c"))), F.lit(0)).alias("sparse"), F.coalesce(F.min(F.when(F.col("upto") >= at, F.col("richness"))), F.lit(0)).alias("p10"))
+
+
+def ordered_variants(rows: DataFrame, variant: str, measure: str) -> DataFrame:
+    """Variants from the best down, each with what it lacks of the best; a variant is a row."""
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(measure), variant)
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).withColumn("behind", F.round(F.first(measure).over(w) - F.col(measure), 6)).select("place", variant, measure, "behind")
+
+
 def opening(scenario: Column, category: Column, first_hard: Column, old_value: Column) -> Column:
     lead = F.concat(F.lit("I'm looking for "), category)
     return F.when((scenario == "buying") & first_hard.isNotNull(), F.concat(lead, F.lit(". A key requirement is: "), first_hard, F.lit("."))).when(scenario == "intent_override", F.concat(lead, F.lit(". "), old_value)).otherwise(F.concat(lead, F.lit(", but I'm still exploring.")))

@@ -64,7 +64,7 @@ def decayed(confidence: Column, age: Column, superseded: Column, config: Config
 def repaired(fragments: DataFrame, posted: DataFrame, n_docs: Column) -> DataFrame:
     """fragments (query, parts): parts that a split on "; " has torn are joined again into one or two groups, by what the
     index holds; the raw parts stay if no grouping is known or there are two at most."""
-    df = posted.groupBy("phrase").agg(F.count_distinct("doc").alias("df"))
+    df = posted.groupBy("phrase").agg(F.count("doc").alias("df"))
     size = F.size("parts")
     rows = fragments.withColumn("cut", F.explode(F.when(size > 2, F.sequence(F.lit(0), size - 1)).otherwise(F.array(F.lit(-1)))))
     join = lambda a: F.array_join(a, "; ")
@@ -100,10 +100,15 @@ def category_slots(changes: DataFrame) -> DataFrame:
 
 
 def active(slots_: DataFrame, turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Slots (session, attribute, value, confidence, set_at, superseded) as weighted constraints at each session's turn."""
+    """Slots (session, category, attribute, value, confidence, set_at, superseded) as weighted constraints at each session's turn
+    (turns: session, turn): values, what they superseded, and the category, which doesn't fade."""
     rows = slots_.join(turns, "session").withColumn("weight", decayed(F.col("confidence"), F.col("turn") - F.col("set_at"), F.lit(False), config))
     told = F.concat(F.array(F.struct("value", "weight")), F.transform("superseded", lambda v: F.struct(v.alias("value"), (F.col("weight") * config.superseded).alias("weight"))))
-    return rows.select("session", "attribute", F.explode(told).alias("x")).select("session", "attribute", F.col("x.value").alias("phrase"), F.round("x.weight", 6).alias("confidence"))
+    values = rows.select("session", "attribute", F.explode(told).alias("x")).select("session", "attribute", F.col("x.value").alias("phrase"), F.round("x.weight", 6).alias("confidence"))
+    if "category" not in slots_.columns:
+        return values
+    wanted = rows.where("category is not null and category <> ''").select("session", F.lit("category").alias("attribute"), F.col("category").alias("phrase"), F.lit(1.0).alias("confidence")).distinct()
+    return values.unionByName(wanted)
 
 
 def follow_up(normalised: Column, last_asked: Column) -> Column:
