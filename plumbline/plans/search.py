@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULT
 from plumbline.functions import text
 from plumbline.operators import catalog as cat
-from plumbline.operators import dense, lexical, pool, ranking, recovery, retrieval
+from plumbline.operators import dense, encoder, lexical, pool, ranking, recovery, retrieval
 from plumbline.plans.cleaning import CARDS, catalog, part_cards
 from plumbline.plans.registry import CATALOG, listed, query
-from plumbline.sources.tables import file_path, materialised, shared_folder, table
+from plumbline.sources.tables import cached, file_path, materialised, shared_folder, table
 
 K = 10
 
@@ -153,6 +153,22 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(v.where("doc % 100 = 0").withColumnRenamed("doc", "query"), v, K).select("query", "doc", "score", "rank")
 
 
+def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoder that is learnt from the documents, stored for their files."""
+    docs = table(spark, sf_dir, "documents")
+    at = file_path(f"{shared_folder(spark)}/encoder", "documents-1", docs)
+    return cached(spark, at, lambda: encoder.trained(docs.select(F.col("doc_id").alias("id"), _words(F.col("text")).alias("terms"))))
+
+
+@query()
+def semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against documents by meaning: the dense route over texts."""
+    terms = term_vectors(spark, sf_dir)
+    docs = encoder.encoded(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _words(F.col("text")).alias("terms")), terms)
+    asked = encoder.encoded(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), _words(F.col("text")).alias("terms")), terms)
+    return retrieval.nearest(asked.withColumnRenamed("id", "query"), docs.withColumnRenamed("id", "doc"), K).select("query", "doc", "score", "rank")
+
+
 @query()
 def dense_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By query of `dense_topk`, how many vectors it was multiplied with, and how many there are."""
