@@ -32,9 +32,11 @@ def miss_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.breakdown(judged(spark, sf_dir), ["scenario", "difficulty"])
 
 
-@query(f"""WITH {_JUDGED} SELECT scenario, row_number() OVER (PARTITION BY scenario ORDER BY hit, pool_rank DESC NULLS FIRST, best_rank DESC NULLS FIRST, doc_id) AS nth, doc_id, hit, pool_rank, best_rank FROM j QUALIFY nth <= 8""")
+@query(f"""WITH {_JUDGED}, w AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY hit, pool_rank DESC NULLS FIRST, best_rank DESC NULLS FIRST, doc_id) AS nth FROM j)
+SELECT scenario, nth, doc_id, hit, coalesce(pool_rank, 0) AS pool_rank, coalesce(best_rank, 0) AS best_rank FROM w WHERE nth <= 8""")
 def worst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.worst(judged(spark, sf_dir), "scenario", 8, "doc_id")
+    """Place 0: not in the pool, or not in the slate."""
+    return evaluation.worst(judged(spark, sf_dir), "scenario", 8, "doc_id").na.fill(0, ["pool_rank", "best_rank"])
 
 
 @query("""WITH r AS (SELECT p_size % 6 + CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END AS richness FROM part), n AS (SELECT count(*) AS n FROM r), o AS (SELECT richness, row_number() OVER (ORDER BY richness) AS nth FROM r)
