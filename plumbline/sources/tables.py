@@ -22,15 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one in local mode alone, where none may be configured (tests)."""
-    sc = spark.sparkContext
+    """The folder that all executors share, and applications after this one too; a temporary one in local mode alone, where none
+    may be configured (tests)."""
+    sc, at = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not at:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(at)
-    return sc.getCheckpointDir()
+    return at or sc.getCheckpointDir()
 
 
 def materialised(df: DataFrame) -> DataFrame:
