@@ -24,10 +24,10 @@ def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hashed_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_changes(events: DataFrame, *more: str) -> DataFrame:
     """Events as slot changes of their users: sign-ups change the category, the others slots of their type."""
     value = F.when(F.col("event_type") == "signup", (F.floor("value") % 2).cast("string")).otherwise((F.floor("value") % 4).cast("string"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "signup", "category").otherwise(F.col("event_type")).alias("attribute"), value.alias("value"), F.round(F.least(F.lit(1.0), F.col("value") / 100), 6).alias("confidence"))
+    return events.select(*more, F.col("user_id").alias("session"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "signup", "category").otherwise(F.col("event_type")).alias("attribute"), value.alias("value"), F.round(F.least(F.lit(1.0), F.col("value") / 100), 6).alias("confidence"))
 
 
 @query("""WITH c AS (SELECT user_id AS session, event_id AS moment, CASE WHEN event_type = 'signup' THEN 'category' ELSE event_type END AS attribute, CAST(CAST(floor(value) AS BIGINT) % (CASE WHEN event_type = 'signup' THEN 2 ELSE 4 END) AS VARCHAR) AS value, round(least(1.0::DOUBLE, value / 100), 6) AS confidence FROM events),
@@ -37,7 +37,7 @@ r AS (SELECT *, sum(CASE WHEN old IS NULL OR old <> value THEN 1 ELSE 0 END) OVE
 k AS (SELECT session, arg_max(value, moment) AS category FROM c WHERE attribute = 'category' GROUP BY session)
 SELECT session, any_value(category) AS category, attribute, arg_max(value, moment) AS value, max(confidence) FILTER (run = last_run) AS confidence, max(moment) AS set_at, coalesce(array_to_string(list_sort(list_distinct(list(old) FILTER (old <> value))), ','), '') AS superseded FROM z LEFT JOIN k USING (session) GROUP BY session, attribute""")
 def hybrid_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.category_slots(event_changes(spark, sf_dir)).withColumn("superseded", F.array_join("superseded", ","))
+    return sessions.category_slots(event_changes(table(spark, sf_dir, "events"))).withColumn("superseded", F.array_join("superseded", ","))
 
 
 @query(f"""WITH {CARDS}, p AS (SELECT DISTINCT doc, unnest(constraints) AS phrase FROM cards), i AS (SELECT phrase, ln(((SELECT count(*) FROM part) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM p GROUP BY phrase),

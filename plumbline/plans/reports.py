@@ -91,6 +91,6 @@ SELECT session, attribute, value AS phrase, round(weight, 6) AS confidence FROM
 UNION ALL SELECT DISTINCT session, 'category', category, 1.0::DOUBLE FROM w WHERE category IS NOT NULL AND category <> ''""")
 def active_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session's slots ask for at its last turn: faded with age, superseded values less, the category whole."""
-    changes = event_changes(spark, sf_dir).withColumn("at", F.row_number().over(Window.partitionBy("session").orderBy("at")).cast("long"))
+    changes = event_changes(table(spark, sf_dir, "events")).withColumn("at", F.row_number().over(Window.partitionBy("session").orderBy("at")).cast("long"))
     turns = changes.groupBy("session").agg(F.max("at").alias("turn"))
     return sessions.active(sessions.category_slots(changes), turns)

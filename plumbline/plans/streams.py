@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.dialogue import FOLD_SQL, template_turns
-from plumbline.plans.registry import query
+from plumbline.plans.more import event_changes
+from plumbline.plans.registry import ORACLE, query
 from plumbline.sources.tables import materialised, table
 from plumbline.streaming import sessions as streams
+from plumbline.streaming import slots
 
 
 def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
@@ -40,6 +42,22 @@ def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "turn", "bucket", F.array_join("constraints", " | ").alias("constraints"), F.array_join("opening", " | ").alias("opening"), "n_vocab", F.col("asked").cast("bigint").alias("asked"), "late")
 
 
+@query(ORACLE["hybrid_slots"])
+def stream_hybrid_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of `hybrid_slots`, from a stream of the same events; a closing row beyond the last one moves the watermark."""
+    events = table(spark, sf_dir, "events")
+    materialised(spark.range(1))
+    closing = f"{spark.sparkContext.getCheckpointDir()}/source-{uuid.uuid4().hex}"
+    null = lambda name: F.lit(None).cast(events.schema[name].dataType).alias(name)
+    end = events.agg(F.max("ts").alias("ts")).select(*[(F.col("ts") + F.expr("interval 2 days")).cast(events.schema["ts"].dataType).alias("ts") if c == "ts" else null(c) for c in events.columns])
+    end.write.parquet(closing)
+    read = lambda at: spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(at)
+    rows = read(_folder(spark, sf_dir, "events")).unionByName(read(closing))
+    with slots.rocks(spark):
+        log = _drained(slots.logged(event_changes(rows, "ts").withColumn("ts", F.col("ts").cast("timestamp")), "1 day"), spark)
+    return slots.current(log).withColumn("superseded", F.array_join("superseded", ","))
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder with the table's rows; a table that is one file is copied to the shared folder, as file streams read folders."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
