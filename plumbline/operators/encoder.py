@@ -4,8 +4,9 @@ Two terms co-occur if at most `window` places lie between them in a text. A term
 over all terms that it occurs with, is projected to `dim` components: every context term adds its information to each component
 with a sign that is a bit of its own hash. Inner products of projections are those of the rows on average, with a deviation that
 falls with the root of `dim`, so no factorisation of the whole matrix is needed, and no table of random numbers is sent. Pairs
-are counted within batches before they are exchanged; information is rounded to a grid, so that sums, and thus vectors, do not
-depend on how texts are dealt. A text is the mean of its terms' unit vectors, each as often as it occurs, and again of unit length.
+are counted in one order, within runs of texts, and rare terms leave before they are exchanged, as numbers; information is
+rounded to a grid, so that sums, and thus vectors, do not depend on how texts are dealt. A text is the mean of its terms' unit
+vectors, each as often as it occurs, and again of unit length.
 
 Defined cases: terms that occur less than `least` times have no pairs and no vectors; a text without terms that have one has no
 vector. A term without positive information has none either. Null terms are skipped; an empty corpus gives no vectors.
@@ -17,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.sources.tables import materialised
 
 WINDOW, DIM, LEAST = 4, 128, 3
-#: Units of information, and tokens whose pairs are counted together.
-GRID, TOGETHER = 1 << 20, 1 << 17
+#: Units of information, tokens whose pairs are counted together, and rows of a batch that a worker gives back.
+GRID, TOGETHER, PIECE = 1 << 20, 1 << 19, 1 << 16
+#: Terms that are broadcast at most, with a number each: some 64 MB.
+SENT = 1 << 20
 
 
 def frequent(texts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -32,46 +36,78 @@ def frequent(texts: DataFrame, least: int = LEAST) -> DataFrame:
     return texts.select(F.explode("terms").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def pairs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, context, n): how often two terms co-occur in texts (terms), each pair in both orders."""
+def _counted(texts: DataFrame, window: int) -> DataFrame:
+    """(term, context, n) with term <= context, counted within runs of texts: a pair comes out once for each run."""
 
-    def counted(terms: pa.ListArray) -> pa.RecordBatch:
-        size = terms.value_lengths().fill_null(0).to_numpy()
-        flat = terms.flatten()
+    def counted(lists: list[pa.ListArray]) -> pa.RecordBatch:
+        size = np.concatenate([x.value_lengths().fill_null(0).to_numpy() for x in lists])
+        flat = pa.concat_arrays([x.flatten() for x in lists])
         row = np.repeat(np.arange(len(size)), size)
         if flat.null_count:
             row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
         coded = flat.dictionary_encode()
-        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        keys = []
+        order = pc.sort_indices(coded.dictionary)
+        words, place = coded.dictionary.take(order), np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        code = place[coded.indices.to_numpy()]
+        keys = [np.empty(0, np.int64)]
         for gap in range(1, window + 1):
             same = row[gap:] == row[:-gap]
             a, b = code[:-gap][same], code[gap:][same]
-            keys += [a * len(words) + b, b * len(words) + a]
+            keys.append(np.minimum(a, b) * len(words) + np.maximum(a, b))
         key, n = np.unique(np.concatenate(keys), return_counts=True)
         a, b = np.divmod(key, max(1, len(words)))
         return pa.RecordBatch.from_pydict({"term": words.take(pa.array(a)).cast(pa.string()), "context": words.take(pa.array(b)).cast(pa.string()), "n": pa.array(n.astype(np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens = [], 0
         for batch in batches:
             terms = batch.column(batch.schema.get_field_index("terms"))
             upto = np.cumsum(terms.value_lengths().fill_null(0).to_numpy())
             at = 0
             while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, "right")))
-                yield counted(terms.slice(at, end - at))
+                before = upto[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(upto, before + TOGETHER - tokens, "right")))
+                held.append(terms.slice(at, end - at))
+                tokens += int(upto[end - 1] - before)
                 at = end
+                if tokens >= TOGETHER or at < batch.num_rows:
+                    yield from _pieces(counted(held))
+                    held, tokens = [], 0
+        if held:
+            yield from _pieces(counted(held))
+
+    return texts.select("terms").where("terms is not null").mapInArrow(run, "term string, context string, n long")
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, PIECE) for i in range(0, batch.num_rows, PIECE))
+
+
+def _mirrored(rows: DataFrame) -> DataFrame:
+    """Each pair (term, context, n), term <= context, in both orders; a term beside itself counts twice."""
+    same = F.col("term") == F.col("context")
+    both = F.when(same, F.array(F.struct("term", "context", (2 * F.col("n")).alias("n")))).otherwise(F.array(F.struct("term", "context", "n"), F.struct(F.col("context").alias("term"), F.col("term").alias("context"), "n")))
+    return rows.select(F.inline(both))
+
+
+def pairs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(term, context, n): how often two terms co-occur in texts (terms), each pair in both orders."""
+    return _mirrored(_counted(texts, window).groupBy("term", "context").agg(F.sum("n").alias("n")))
+
 
-    rows = texts.select("terms").where("terms is not null").mapInArrow(run, "term string, context string, n long")
-    return rows.groupBy("term", "context").agg(F.sum("n").alias("n"))
+def _sent(side: DataFrame) -> DataFrame:
+    """side, with one row for a term, broadcast if it has few enough of them; a plain join otherwise. It has to be materialised."""
+    return F.broadcast(side) if side.count() <= SENT else side
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
-    """(term, context, weight) of counts (term, context, n): positive pointwise mutual information in units of 1 / GRID."""
-    counts = materialised(counts)
-    margin = counts.groupBy("term").agg(F.sum("n").alias("of"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    rows = counts.join(margin, "term").join(margin.select(F.col("term").alias("context"), F.col("of").alias("with")), "context").join(F.broadcast(total))
+    """(term, context, weight) of counts (term, context, n), read twice: positive pointwise mutual information in units of 1 / GRID.
+    Terms may be of any type."""
+    margin = materialised(counts.groupBy("term").agg(F.sum("n").alias("of")))
+    side = _sent(margin)
+    total = margin.agg(F.sum("of").alias("total"))  # one row
+    rows = counts.join(side, "term").join(side.select(F.col("term").alias("context"), F.col("of").alias("with")), "context").join(F.broadcast(total))
     weight = F.round(GRID * F.log(F.col("n").cast("double") * F.col("total") / (F.col("of").cast("double") * F.col("with")))).cast("long")
     return rows.select("term", "context", weight.alias("weight")).where("weight > 0")
 
@@ -81,11 +117,18 @@ def signs(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<i8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").astype(np.int64) * 2 - 1
 
 
-def vectors(information: DataFrame, dim: int = DIM, seed: int = 0) -> DataFrame:
-    """(term, vector), of unit length, from information (term, context, weight). dim: a multiple of 64."""
+def vectors(information: DataFrame, dim: int = DIM, seed: int = 0, names: DataFrame | None = None) -> DataFrame:
+    """(term, vector), of unit length, from information (term, context, weight). dim: a multiple of 64. If the terms are numbers,
+    names (id, term) says what they stand for."""
     if dim % 64:
         raise ValueError("dim has to be a multiple of 64")
-    hashed = information.select("term", "weight", F.array(*[F.xxhash64(F.lit(seed + i), "context") for i in range(dim // 64)]).alias("h"))
+    # a term's contexts lie together, so that batches add up before the next exchange; signs follow after the first
+    rows = information.repartition("term")
+    spelt = F.col("context")
+    if names is not None:
+        rows, spelt = rows.join(_sent(names).select(F.col("id").alias("context"), F.col("term").alias("spelt")), "context"), F.col("spelt")
+    hashed = rows.select("term", "weight", F.array(*[F.xxhash64(F.lit(seed + i), spelt) for i in range(dim // 64)]).alias("h"))
+    kind = information.schema["term"].dataType.simpleString()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,12 +138,11 @@ def vectors(information: DataFrame, dim: int = DIM, seed: int = 0) -> DataFrame:
             coded = get("term").dictionary_encode()
             out = np.zeros((len(coded.dictionary), dim), np.int64)
             np.add.at(out, coded.indices.to_numpy(), signs(get("h").flatten().to_numpy().reshape(-1, dim // 64)) * get("weight").to_numpy()[:, None])
-            yield pa.RecordBatch.from_pydict({"term": coded.dictionary.cast(pa.string()), "v": pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))})
+            yield pa.RecordBatch.from_pydict({"term": coded.dictionary if kind == "bigint" else coded.dictionary.cast(pa.string()), "v": pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))})
 
-    # a term's contexts lie together, so that batches add up before the exchange
-    rows = hashed.repartition("term").sortWithinPartitions("term").mapInArrow(partial, "term string, v array<long>")
-    summed = rows.groupBy("term").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
-    return _unit(summed, "term", dim)
+    rows = hashed.sortWithinPartitions("term").mapInArrow(partial, f"term {kind}, v array<long>")
+    unit = _unit(rows.groupBy("term").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)]), "term", dim)
+    return unit if names is None else unit.withColumnRenamed("term", "id").join(names, "id").select("term", "vector")
 
 
 def _unit(rows: DataFrame, id_: str, dim: int) -> DataFrame:
@@ -112,9 +154,12 @@ def _unit(rows: DataFrame, id_: str, dim: int) -> DataFrame:
 
 def trained(texts: DataFrame, window: int = WINDOW, dim: int = DIM, least: int = LEAST, seed: int = 0) -> DataFrame:
     """(term, vector) from texts (id, terms)."""
-    known = materialised(frequent(texts, least).select("term"))
-    counts = pairs(texts, window).join(known, "term", "left_semi").join(known.select(F.col("term").alias("context")), "context", "left_semi")
-    return vectors(ppmi(counts), dim, seed)
+    # numbers stand for terms wherever pairs are exchanged; they are fixed once they are written
+    known = materialised(materialised(frequent(texts, least).select("term")).select(F.monotonically_increasing_id().alias("id"), "term"))
+    side = _sent(known)
+    rows = _counted(texts, window).join(side.select(F.col("id").alias("a"), "term"), "term").join(side.select(F.col("id").alias("b"), F.col("term").alias("context")), "context")
+    counts = materialised(rows.groupBy(F.col("a").alias("term"), F.col("b").alias("context")).agg(F.sum("n").alias("n")))
+    return vectors(ppmi(_mirrored(counts)), dim, seed, known)
 
 
 def encoded(texts: DataFrame, terms: DataFrame, dim: int = DIM) -> DataFrame:
