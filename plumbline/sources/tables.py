@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import prepare
+from plumbline.sources.arrays import records
 
 #: Every field of a raw record is read as text; nested values keep their JSON.
 RAW = "parent_asin string, asin string, title string, features string, description string, price string, categories string, details string, average_rating string, rating_number string, store string"
@@ -51,7 +52,11 @@ def lenient_catalog(spark: SparkSession, path: str, array: bool | None = None) -
     if array is None:
         first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1).alias("c")).first()
         array = first is not None and first["c"] == "["
-    rows = spark.read.schema(f"{RAW}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", array).json(path)
+    schema = f"{RAW}, _corrupt_record string"
+    if array:
+        rows = records(spark, path).select(F.from_json("record", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    else:
+        rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
