@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT
 from plumbline.operators import catalog as cat
-from plumbline.operators import evaluation, retrieval, sessions
+from plumbline.operators import counters, evaluation, retrieval, sessions
 from plumbline.plans.cleaning import CARDS, part_cards
-from plumbline.plans.more import ablation_matrix, event_changes
-from plumbline.plans.registry import ORACLE, query
+from plumbline.plans.more import ablation_matrix, event_changes, recovery_levels
+from plumbline.plans.registry import ORACLE, listed, query
+from plumbline.plans.search import popularity_backfill
+from plumbline.plans.understanding import question_choice, semantic_trigger
 from plumbline.sources.tables import table
 
 _JUDGED = """j AS (SELECT d.doc_id, lang AS scenario, source AS difficulty, coalesce(quality, 0) = 1 AS hit, CASE WHEN coalesce(quality, 0) = 1 THEN 1 + d.doc_id % 10 END AS best_rank,
@@ -94,3 +96,16 @@ def active_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = event_changes(table(spark, sf_dir, "events")).withColumn("at", F.row_number().over(Window.partitionBy("session").orderBy("at")).cast("long"))
     turns = changes.groupBy("session").agg(F.max("at").alias("turn"))
     return sessions.active(sessions.category_slots(changes), turns)
+
+
+@query(f"""SELECT 'semantic_fallback_fired' AS counter, count(*) FILTER (needs) AS n FROM ({ORACLE["semantic_trigger"]}) UNION ALL SELECT 'recovered_' || l, (SELECT count(DISTINCT query) FROM ({ORACLE["recovery_levels"]}) WHERE level = l) FROM generate_series(1, 3) AS g(l)
+UNION ALL SELECT 'backfilled', count(DISTINCT query) FROM ({ORACLE["popularity_backfill"]}) WHERE tier = 1
+UNION ALL SELECT 'ask_' || a, (SELECT count(*) FROM ({ORACLE["question_choice"]}) WHERE ask = a) FROM (SELECT unnest({listed(DEFAULT.ask_attributes)}) AS a) UNION ALL SELECT 'ask_none', count(*) FROM ({ORACLE["question_choice"]}) WHERE ask IS NULL""")
+def turn_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often turns fell back to meaning, were recovered with fewer constraints, were filled up by popularity, and asked for what."""
+    _, fell = counters.written(semantic_trigger(spark, sf_dir), {"semantic_fallback_fired": F.col("needs")})
+    _, fewer = counters.written(recovery_levels(spark, sf_dir), {f"recovered_{i}": (F.col("level") == i) & (F.col("rank") == 1) for i in (1, 2, 3)})
+    filled = popularity_backfill(spark, sf_dir).withColumn("first", (F.col("tier") == 1) & (F.row_number().over(Window.partitionBy("query", "tier").orderBy("place")) == 1))
+    _, more = counters.written(filled, {"backfilled": F.col("first")})
+    _, asked = counters.written(question_choice(spark, sf_dir), counters.asks(F.col("ask"), DEFAULT.ask_attributes))
+    return counters.reported(spark, fell, fewer, more, asked)
