@@ -1,6 +1,6 @@
 """The slot state as a stream: changes wait until the watermark has passed them and are then taken in order of event time.
 
-Every session keeps, in state stores of its own: the changes that wait, one entry for each slot, and a head (category, the last
+Every session keeps, in state stores of its own: the changes that wait, an entry for each slot, and a head (category, the last
 change's time, a running number). A timer at the earliest waiting change wakes the session when the watermark gets there, so a
 batch touches only sessions with new rows or ripe ones, and of those only the slots that change. What comes out is a log of
 changes; `current` reads the slots from it, in batch, as `operators.sessions.category_slots` has them.
@@ -51,66 +51,79 @@ class _Slots(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", "category string, last_us long, seq long")
-        self.waiting = handle.getMapState("waiting", "at long", "us long, attribute string, value string, confidence double")
+        self.waiting = handle.getListState("waiting", "at long, us long, attribute string, value string, confidence double")
         self.slots = handle.getMapState("slots", "attribute string", "value string, confidence double, set_at long, superseded array<string>")
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))  # timers are in milliseconds; not before `us`
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, tuple] = {}
+        new: list[tuple] = []
         for batch in rows:
             batch = batch[batch["whole"]]
             for at, us, attribute, value, confidence in zip(*[batch[c] for c in ("at", "us", "attribute", "value", "confidence")]):
-                row = (int(us), attribute, value, None if pd.isna(confidence) else float(confidence))
-                new[int(at)] = min(new.get(int(at), row), row, key=_order)
-        for at, row in new.items():
-            self.waiting.updateValue((at,), min(self.waiting.getValue((at,)), row, key=_order) if self.waiting.containsKey((at,)) else row)
+                new.append((int(at), int(us), attribute, value, None if pd.isna(confidence) else float(confidence)))
         if new:
-            self._wake(min(r[0] for r in new.values()))
+            self.waiting.appendList(new)
+            self._wake(min(r[1] for r in new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((row[0], at[0], *row[1:]) for at, row in self.waiting.iterator()) if self.waiting.exists() else []
-        ripe = [w for w in waiting if w[0] <= upto]
+        by_at: dict[int, tuple] = {}
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            by_at[row[0]] = min(by_at.get(row[0], row), row, key=_order)
+        waiting = sorted(by_at.values(), key=_order)
+        ripe = [w for w in waiting if w[1] <= upto]
         category, last, seq = self.head.get() if self.head.exists() else (None, None, 0)
         out: list[tuple] = []
+        held: dict[str, tuple | None] = {}  # slots that are read or changed here; each goes back once
+
+        def clear() -> None:
+            self.slots.clear()
+            held.clear()
 
         def forget(at: int | None) -> None:
             nonlocal category, last, seq
             seq += 1
             out.append((key[0], seq, at, "expired", None, None, None, None, None, None))
-            self.slots.clear()
+            clear()
             category = last = None
 
-        for us, at, attribute, value, confidence in ripe:
+        for at, us, attribute, value, confidence in ripe:
             if self.idle_us is not None and last is not None and us - last >= self.idle_us:
                 forget(at)
             seq += 1
             if attribute == "category":
                 cleared = category is not None and category != value
                 if cleared:
-                    self.slots.clear()
+                    clear()
                 category = value
                 out.append((key[0], seq, at, "cleared" if cleared else "category", category, None, None, None, None, None))
             else:
-                old = self.slots.getValue((attribute,)) if self.slots.containsKey((attribute,)) else None
+                if attribute not in held:
+                    held[attribute] = self.slots.getValue((attribute,)) if self.slots.containsKey((attribute,)) else None
+                old = held[attribute]
                 if old is None:
                     slot = (value, confidence, at, [])
                 elif old[0] == value:
                     slot = (value, _greater(old[1], confidence), at, list(old[3]))
                 else:
                     slot = (value, confidence, at, sorted({*old[3], old[0]}))
-                self.slots.updateValue((attribute,), slot)
+                held[attribute] = slot
                 out.append((key[0], seq, at, "set", category, attribute, *slot))
             last = us
-            self.waiting.removeKey((at,))
         rest = waiting[len(ripe) :]
         if not rest and self.idle_us is not None and last is not None and last + self.idle_us <= upto:
             forget(None)
+        if ripe and rest:
+            self.waiting.put(rest)
+        elif ripe:
+            self.waiting.clear()
+        for attribute, slot in held.items():
+            self.slots.updateValue((attribute,), slot)
         if rest:
-            self._wake(rest[0][0])
+            self._wake(rest[0][1])
         elif self.idle_us is not None and last is not None:
             self._wake(last + self.idle_us)
         self.head.update((category, last, seq))
@@ -121,8 +134,8 @@ class _Slots(StatefulProcessor):
 
 
 def _order(row: tuple) -> tuple:
-    """Rows by time, attribute, value and confidence, a null confidence first."""
-    return (*row[:3], row[3] is not None, row[3] or 0.0)
+    """Rows (at, us, attribute, value, confidence) by time, `at`, attribute, value and confidence, a null confidence first."""
+    return (row[1], row[0], *row[2:4], row[4] is not None, row[4] or 0.0)
 
 
 def logged(changes: DataFrame, delay: str, idle: str | None = None) -> DataFrame:
