@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lexicon, text
 from plumbline.operators import catalog as cat
 from plumbline.plans.registry import CATALOG, listed, query, sql_normalise
-from plumbline.sources.tables import table
+from plumbline.sources.tables import cached, dealt, file_path, shared_folder, table
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,12 +97,13 @@ def coarse_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, title, bucket and the ordered constraints of every part."""
+    """doc, title, bucket and the ordered constraints of every part; made once for the files, and stored."""
     p = table(spark, sf_dir, "part")
     entries = F.array(F.concat(F.lit("brand: "), "p_brand"), F.concat(F.lit("size: "), F.col("p_size").cast("string")))
     price = F.floor("p_retailprice").cast("bigint").cast("string")
     made = cat.card_constraints(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.array(F.lower("p_type")), entries, price)
-    return p.select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("title"), F.col("p_type").alias("bucket"), made.alias("constraints"))
+    cards = lambda: dealt(p, "p_partkey").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("title"), F.col("p_type").alias("bucket"), made.alias("constraints"))
+    return cached(spark, file_path(f"{shared_folder(spark)}/cards", "parts-1", p), cards)
 
 
 CARDS = f"""cards AS (SELECT p_partkey AS doc, p_name AS title, p_type AS bucket, list_filter(list_concat(CASE WHEN m <> '' THEN [m] ELSE [] END, CASE WHEN c <> '' AND m <> '' THEN ['color: ' || c] ELSE [] END, [lower(p_type)],
