@@ -12,7 +12,7 @@ from plumbline.operators import extraction, question, ranking, retrieval
 from plumbline.plans.dialogue import VALUES
 from plumbline.plans.registry import listed, query, sql_normalise
 from plumbline.plans.search import FEATURES, part_features
-from plumbline.sources.tables import table
+from plumbline.sources.tables import dealt, table
 
 #: Phrases that the vocabulary has beside the catalog's names and types.
 EXTRA = ("blue", "cotton", "shoes", "t-shirt", "tee", "sneakers", "women", "men")
@@ -123,7 +123,7 @@ def declines(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN p_partkey % 2 = 0 THEN 'women' ELSE 'men' END AS department, true AS by_type, true AS by_brand, (p_name || ' for men' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' for ' || lower(p_type) || ' wear by ' || p_brand END || ' brand ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' department ladies' ELSE '' END || ' ' || 'Made well & fine.' || ' Parts ' || p_type || ' ' || p_brand) AS said FROM part WHERE p_partkey % 7 <> 0""")
 def product_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records made of parts, through the whole cleaning of a catalog."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
     k, brand, kind = F.col("p_partkey"), F.col("p_brand"), F.col("p_type")
     text_ = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
     records = p.select(
