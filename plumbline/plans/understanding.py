@@ -12,7 +12,7 @@ from plumbline.operators import extraction, question, ranking, retrieval
 from plumbline.plans.dialogue import VALUES
 from plumbline.plans.registry import listed, query, sql_normalise
 from plumbline.plans.search import FEATURES, part_features
-from plumbline.sources.tables import dealt, table
+from plumbline.sources.tables import dealt, materialised, table
 
 #: Phrases that the vocabulary has beside the catalog's names and types.
 EXTRA = ("blue", "cotton", "shoes", "t-shirt", "tee", "sneakers", "women", "men")
@@ -22,8 +22,8 @@ _SAID = "CASE p_partkey % 6 WHEN 0 THEN concat('Blue <b>', p_name, '</b> in ', p
 
 def part_utterances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(utterances, vocabulary, categories) about parts."""
-    p = table(spark, sf_dir, "part")
-    said = p.select(F.col("p_partkey").alias("query"), extraction.utterance(F.expr(_SAID)).alias("text"))
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
+    said = materialised(p.select(F.col("p_partkey").alias("query"), extraction.utterance(F.expr(_SAID)).alias("text")))  # else each branch normalises, and filters do so before the rows are dealt
     types = F.array(F.lower("p_type"), F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lower("p_name"))
     phrases = lambda more: p.select(F.explode(F.concat(types, F.array(*map(F.lit, more)))).alias("phrase")).distinct()
     return said, phrases(EXTRA), phrases(EXTRA_CATEGORIES)
