@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Config
 from plumbline.functions import lexicon
+from plumbline.sources.tables import materialised
 
 EXPLORING = "I'm looking for {}, but I'm still exploring."
 REBUKE = "Those options are not quite right yet. Ask me about one specific attribute."
 
 
+#: Rows of one id that meet the known ids in one task, about.
+TOGETHER = 1 << 18
+
+
+def spread_ids(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (query, id) and known (id) with a `piece`: rows of an id of which there are very many are dealt over several."""
+    many = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER)  # of rows / TOGETHER ids at most
+    many = materialised(many.select("id", F.ceil(F.col("n") / TOGETHER).cast("int").alias("pieces")))
+    dealt = rows.join(F.broadcast(many), "id", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("query"), "pieces").cast("int"), F.lit(0))).drop("pieces")
+    each = known.join(F.broadcast(many), "id", "left").select("id", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+    return dealt, each
+
+
 def slates(items: DataFrame, known: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
     """items (query, pos, id): trimmed, known ids only, the first of repeated ones, at most k, numbered."""
-    rows = items.select("query", "pos", F.trim("id").alias("id")).where("id <> ''").join(known.select("id").distinct(), "id", "left_semi")
+    rows, each = spread_ids(items.select("query", "pos", F.trim("id").alias("id")).where("id <> ''"), known.select("id").distinct())
+    rows = rows.join(each, ["id", "piece"], "left_semi")
     first = rows.groupBy("query", "id").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("query").orderBy("pos")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", F.col("rank").cast("bigint").alias("rank"))
