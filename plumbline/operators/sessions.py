@@ -83,8 +83,8 @@ def category_slots(changes: DataFrame) -> DataFrame:
     A new category clears all slots; a new value supersedes the old one; the same value again keeps the greater confidence.
     Gives (session, category, attribute, value, confidence, set_at, superseded)."""
     by = Window.partitionBy("session").orderBy("at")
-    cats = Window.partitionBy("session", F.col("attribute") == "category").orderBy("at")
-    before = F.lag("value").over(cats)
+    # the category before, in the order that the sums need too: no sort of its own
+    before = F.last(F.when(F.col("attribute") == "category", F.struct("value")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))["value"]
     rows = changes.withColumn("cleared", ((F.col("attribute") == "category") & before.isNotNull() & (before != F.col("value"))).cast("int"))
     rows = rows.withColumn("part", F.sum("cleared").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("last_part", F.max("part").over(Window.partitionBy("session")))
     category = rows.where("attribute = 'category'").groupBy("session").agg(F.max_by("value", "at").alias("category"))
