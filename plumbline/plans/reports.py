@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULT
 from plumbline.operators import catalog as cat
 from plumbline.operators import counters, evaluation, retrieval, sessions
-from plumbline.plans.cleaning import CARDS, part_cards
+from plumbline.plans.cleaning import CARDS, customer_targets, part_cards
 from plumbline.plans.more import ablation_matrix, event_changes, recovery_levels
 from plumbline.plans.registry import ORACLE, listed, query
 from plumbline.plans.search import popularity_backfill
@@ -80,7 +80,7 @@ def exact_leaf_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = part_cards(spark, sf_dir)
     posted = cat.postings(cards, "doc", "constraints").select("phrase", "doc")
     n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
-    targets = table(spark, sf_dir, "customer").join(F.broadcast(n)).select(F.col("c_custkey").alias("query"), (F.col("c_custkey") * 7 % F.col("n")).alias("doc"))
+    targets = customer_targets(spark, sf_dir)
     asked = targets.join(cards, "doc").select("query", F.col("bucket").alias("category"), F.explode("constraints").alias("phrase")).where(F.col("phrase").startswith("brand:")).withColumn("confidence", F.lit(0.8))
     return retrieval.exact_phrases(asked, posted, cat.smoothed_idf(posted, n), cards.select("doc", F.col("bucket").alias("leaf"))).select("query", "doc", "score", "rank")
 
